@@ -25,7 +25,7 @@ MAX_EDITS = 2
 KIND_SHORT = {"review": "rev", "workshop": "wkshp", "transactions": "trans", "annual conference": "conf", "symposium": "symp", "letters": "lett", "journal": "j"}
 WORD_SHORT = {
     "adaptive": "adapt", "analytics": "analytics", "annotation": "annot", "archives": "arch", "catalogue": "cat", "clinical": "clin", "federated": "fed", "granular": "gran", "interfaces": "interf",
-    "language": "lang", "learning": "learn", "metadata": "metad", "methods": "meth", "network": "netw", "numerical": "num", "portable": "port", "record": "rec", "registers": "reg", "retrieval": "retr",
+    "language": "lang", "learning": "learn", "metadata": "metad", "methods": "meth", "network": "netw", "numerical": "num", "portable": "port", "processing": "proc", "record": "rec", "registers": "reg", "retrieval": "retr",
     "stochastic": "stoch", "symbolic": "symb", "systems": "sys", "verified": "verif",
 }
 _KINDS = "|".join(KIND_SHORT)
@@ -39,7 +39,9 @@ RULES = [
     (r"\bvol(ume|\.)? *\d+", " "),
     (r"^ *in *: *", ""),
     (r"\b(1st|2nd|3rd|\d+th)\b", " "),
-    (r"\b(proceedings|proc\.?|int\.|international)( of)?( the)?\b", " "),
+    (r"^ *(proceedings|proc\.?)( of)?( the)?( |$)", " "),
+    (r"\bproceedings\b", " "),
+    (r"^ *(int\.|international) ", " "),
     (r"\b(19|20)\d\d\b", " "),
     (r"^ *([a-z]+)(19|20)\d\d *$", "$1"),
 ]
@@ -47,9 +49,9 @@ RULES = [
 _AFTER = [
     (r"^ *[a-z]{3,6} *: *([a-z].* .*)$", "$1"),
     (r"^ *[a-z]{3,6} *\((.* .*)\) *$", "$1"),
+    (rf"^(.*)[(,] *({_KINDS_ANY})\.?( *(on|of|in|for))? *\)? *$", "$2 $1"),
     (r"^(.* .*[^ ]) *\( *[a-z]{3,6} *\) *$", "$1"),
     (r"[^a-z ,()]+", " "),
-    (rf"^(.*)[(,] *({_KINDS_ANY})( *(on|of|in|for))? *\)? *$", "$2 $1"),
     (r"[,()]+", " "),
     (r"\b(the|on|of|in|for|and)\b", " "),
     (r" +", " "),
@@ -88,6 +90,7 @@ entry_forms AS (
   SELECT form, min(venue_id) AS venue_id FROM (
     SELECT venue_id, form FROM entries
     UNION ALL SELECT venue_id, {kinds} AS form FROM entries
+    UNION ALL SELECT venue_id, {_short("form", WORD_SHORT, engine)} AS form FROM entries
     UNION ALL SELECT venue_id, {_short(kinds, WORD_SHORT, engine)} AS form FROM entries
   ) AS f WHERE form <> '' GROUP BY form HAVING min(venue_id) = max(venue_id)
 ),
