@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .components import p3_found
+from .names import p1_found
 from .tokenize import encode_corpus
 from .venues import duckdb_sql, p4_found
 
@@ -17,7 +18,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p4_found": p4_found, "p7_ids": p7_ids}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p7_ids": p7_ids}
 
 
 #: The recursive query walks from each record to every record that it reaches.
@@ -32,4 +33,4 @@ SELECT row_id, min(other) AS group_id FROM reach GROUP BY row_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_SQL, "p4_found": duckdb_sql()}
+    return {"p1_found": p1_found, "p3_found": P3_SQL, "p4_found": duckdb_sql()}
