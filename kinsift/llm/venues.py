@@ -17,7 +17,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import Workspace, table
 
 #: Edits allowed between the forms of a value and an entry.
 MAX_EDITS = 2
@@ -81,8 +81,8 @@ def _short(sql: str, words: dict[str, str], engine: str) -> str:
     return sql
 
 
-def _common(engine: str) -> str:
-    """Named subqueries shared by both engines: forms of the list's entries and of the values."""
+def _common(engine: str, typed: str | None = None) -> str:
+    """Named subqueries shared by both engines: forms of the list's entries and of the values. typed: a table that has the latter already."""
     entry, kinds = _form("venue_name", engine), _short("form", KIND_SHORT, engine)
     return f"""
 entries AS (SELECT venue_id, {entry} AS form FROM venue_list WHERE venue_name IS NOT NULL),
@@ -100,7 +100,7 @@ cases AS (
   WHERE k.known IS NULL AND r.row_id IS NOT NULL AND r.venue IS NOT NULL
     AND length({"regexp_replace(r.venue, r'[ \\s\\x{00A0}]+', '')" if engine == "spark" else "regexp_replace(r.venue, '[\\s\\x{00A0}]+', '', 'g')"}) > 0
 ),
-typed AS (SELECT venue, {_form("venue", engine)} AS form FROM (SELECT DISTINCT venue FROM cases) AS d),
+typed AS ({f"SELECT venue, form FROM {typed}" if typed else _typed(engine)}),
 forms AS (SELECT DISTINCT form FROM typed),
 by_short AS (
   SELECT f.form, min(v.venue_id) AS venue_id FROM forms f JOIN venue_list v ON f.form = lower(v.short_name)
@@ -124,11 +124,15 @@ found AS (
 SELECT row_id, CAST(venue_id AS INT) AS venue_id FROM found"""
 
 
-def spark_sql(k: int = MAX_EDITS) -> str:
+def _typed(engine: str) -> str:
+    return f"""SELECT venue, {_form("venue", engine)} AS form FROM (SELECT DISTINCT venue FROM {"results r WHERE venue IS NOT NULL" if engine == "spark" else "cases"}) AS d"""
+
+
+def spark_sql(k: int = MAX_EDITS, typed: str | None = None) -> str:
     segments = k + 1
     cut = f"(n DIV {segments})"
     return f"""
-WITH {_common("spark")},
+WITH {_common("spark", typed)},
 segments AS (
   SELECT form, venue_id, n, i, substring(form, (i - 1) * {cut} + 1, CASE WHEN i = {segments} THEN n ELSE {cut} END) AS piece
   FROM (SELECT form, venue_id, length(form) AS n, explode(sequence(1, {segments})) AS i FROM entry_forms)
@@ -167,14 +171,16 @@ near AS (
 def map_venues(results: DataFrame, venue_list: DataFrame, k: int = MAX_EDITS) -> DataFrame:
     """row_id and venue_id of each row whose venue is typed freely; -1 where no entry is meant."""
     spark, mark = results.sparkSession, uuid.uuid4().hex
-    views = {"results r": results.select("row_id", "venue"), "venue_list": venue_list.select("venue_id", "venue_name", "short_name")}
-    sql = spark_sql(k)
-    for n, (name, df) in enumerate(views.items()):
-        df.createOrReplaceTempView(f"kinsift_{mark}_{n}")
-        sql = re.sub(rf"\b{name}\b", f"kinsift_{mark}_{n}" + name[len(name.split(" ")[0]) :], sql)
-    out = spark.sql(sql)
-    for n in range(len(views)):
-        spark.catalog.dropTempView(f"kinsift_{mark}_{n}")
+    space = Workspace(spark, "venues")
+    names = {"results": f"kinsift_{mark}_r", "venue_list": f"kinsift_{mark}_v", "typed": f"kinsift_{mark}_t"}
+    results.select("row_id", "venue").createOrReplaceTempView(names["results"])
+    venue_list.select("venue_id", "venue_name", "short_name").createOrReplaceTempView(names["venue_list"])
+    over = lambda sql: re.sub(r"\bvenue_list\b", names["venue_list"], re.sub(r"\bresults r\b", names["results"] + " r", sql))
+    # the forms are used several times: written once
+    space.write(spark.sql(over(_typed("spark")))).createOrReplaceTempView(names["typed"])
+    out = spark.sql(over(spark_sql(k, names["typed"])))
+    for view in names.values():
+        spark.catalog.dropTempView(view)
     return out
 
 
