@@ -12,6 +12,7 @@ from .names import p1_found
 from .records import p6_found
 from .survivors import p2_found
 from .tokenize import encode_corpus
+from .vectors import p5_found
 from .venues import duckdb_sql, p4_found
 
 
@@ -20,7 +21,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids}
 
 
 #: The recursive query walks from each record to every record that it reaches.
