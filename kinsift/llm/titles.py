@@ -13,7 +13,7 @@ NOTES = re.compile(r"\[(pdf|html|epub|online)\]|\.pdf\s*$|\|\s*(download|pdf|ful
 OWN_KINDS = re.compile(r"[\(\[]\s*(extended abstract|abstract|poster|preprint|demo|erratum|correction|reply|comment|abridged)\s*[\)\]]", re.I)
 _PART = re.compile(r"[,:(\s]+(?:part|pt\.?|vol(?:ume)?\.?|no\.?)\s+(\d+|[ivx]+|one|two|three|four|five|six|seven|eight|nine|ten)\b", re.I)
 _NUMBERS = {w: str(k) for k, w in enumerate("one two three four five six seven eight nine ten".split(), 1)} | {w: str(k) for k, w in enumerate("i ii iii iv v vi vii viii ix x".split(), 1)}
-_FILLER = {"a", "an", "the", "of", "on", "in", "for", "with", "and", "under", "to", "by", "approach"}
+FILLER = {"a", "an", "the", "of", "on", "in", "for", "with", "and", "under", "to", "by", "approach"}
 
 
 def repair(text: str) -> str:
@@ -118,8 +118,8 @@ def compare_words(a: list[str], b: list[str]) -> tuple[str, int]:
             left.append(w)
         else:
             rest_b.remove(hit)
-    left = [w for w in left if w not in _FILLER]
-    right = [w for w in rest_b if w not in _FILLER]
+    left = [w for w in left if w not in FILLER]
+    right = [w for w in rest_b if w not in FILLER]
     if not left and not right:
         return "same", 0
     if left and right:
