@@ -11,6 +11,7 @@ from .components import p3_found
 from .contamination import p8_found
 from .names import p1_found
 from .records import p6_found
+from .subjects import p9_found
 from .survivors import p2_found
 from .tokenize import encode_corpus
 from .vectors import p5_found
@@ -22,7 +23,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 
 
 #: The recursive query walks from each record to every record that it reaches.
