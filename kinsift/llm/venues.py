@@ -81,59 +81,48 @@ def _short(sql: str, words: dict[str, str], engine: str) -> str:
     return sql
 
 
-def _common(engine: str, typed: str | None = None) -> str:
-    """Named subqueries shared by both engines: forms of the list's entries and of the values. typed: a table that has the latter already."""
-    entry, kinds = _form("venue_name", engine), _short("form", KIND_SHORT, engine)
+def _entry_forms(engine: str, entries: str) -> str:
+    kinds = _short("form", KIND_SHORT, engine)
     return f"""
-entries AS (SELECT venue_id, {entry} AS form FROM venue_list WHERE venue_name IS NOT NULL),
-entry_forms AS (
   SELECT form, min(venue_id) AS venue_id FROM (
-    SELECT venue_id, form FROM entries
-    UNION ALL SELECT venue_id, {kinds} AS form FROM entries
-    UNION ALL SELECT venue_id, {_short("form", WORD_SHORT, engine)} AS form FROM entries
-    UNION ALL SELECT venue_id, {_short(kinds, WORD_SHORT, engine)} AS form FROM entries
-  ) AS f WHERE form <> '' GROUP BY form HAVING min(venue_id) = max(venue_id)
-),
-cases AS (
+    SELECT venue_id, form FROM {entries}
+    UNION ALL SELECT venue_id, {kinds} AS form FROM {entries}
+    UNION ALL SELECT venue_id, {_short("form", WORD_SHORT, engine)} AS form FROM {entries}
+    UNION ALL SELECT venue_id, {_short(kinds, WORD_SHORT, engine)} AS form FROM {entries}
+  ) AS f WHERE form <> '' GROUP BY form HAVING min(venue_id) = max(venue_id)"""
+
+
+def _cases(engine: str) -> str:
+    bare = "regexp_replace(r.venue, r'[ \\s\\x{00A0}]+', '')" if engine == "spark" else "regexp_replace(r.venue, '[\\s\\x{00A0}]+', '', 'g')"
+    return f"""
   SELECT r.row_id, r.venue FROM results r
   LEFT JOIN (SELECT venue_name AS known FROM venue_list UNION SELECT short_name FROM venue_list) AS k ON r.venue = k.known
-  WHERE k.known IS NULL AND r.row_id IS NOT NULL AND r.venue IS NOT NULL
-    AND length({"regexp_replace(r.venue, r'[ \\s\\x{00A0}]+', '')" if engine == "spark" else "regexp_replace(r.venue, '[\\s\\x{00A0}]+', '', 'g')"}) > 0
-),
-typed AS ({f"SELECT venue, form FROM {typed}" if typed else _typed(engine)}),
-forms AS (SELECT DISTINCT form FROM typed),
-by_short AS (
-  SELECT f.form, min(v.venue_id) AS venue_id FROM forms f JOIN venue_list v ON f.form = lower(v.short_name)
-  GROUP BY f.form HAVING min(v.venue_id) = max(v.venue_id)
-)"""
+  WHERE k.known IS NULL AND r.row_id IS NOT NULL AND r.venue IS NOT NULL AND length({bare}) > 0"""
 
 
-_REST = """
-best AS (SELECT form, min(edits) AS edits FROM near GROUP BY form),
-by_name AS (
-  SELECT n.form, min(n.venue_id) AS venue_id FROM near n JOIN best b ON n.form = b.form AND n.edits = b.edits
-  GROUP BY n.form HAVING min(n.venue_id) = max(n.venue_id)
-),
-mapped AS (SELECT form, venue_id FROM by_short UNION ALL SELECT form, venue_id FROM by_name),
-named AS (SELECT t.venue, m.venue_id FROM typed t JOIN mapped m ON t.form = m.form),
-found AS (
-  SELECT c.row_id, n.venue_id FROM cases c JOIN named n ON c.venue = n.venue
+_BY_SHORT = """
+  SELECT f.form, min(v.venue_id) AS venue_id FROM forms f JOIN venue_list v ON f.form = lower(v.short_name)
+  GROUP BY f.form HAVING min(v.venue_id) = max(v.venue_id)"""
+_NAMED = """
+  WITH best AS (SELECT form, min(edits) AS edits FROM near GROUP BY form),
+  by_name AS (
+    SELECT n.form, min(n.venue_id) AS venue_id FROM near n JOIN best b ON n.form = b.form AND n.edits = b.edits
+    GROUP BY n.form HAVING min(n.venue_id) = max(n.venue_id)
+  ),
+  mapped AS (SELECT form, venue_id FROM by_short UNION ALL SELECT form, venue_id FROM by_name)
+  SELECT t.venue, m.venue_id FROM typed t JOIN mapped m ON t.form = m.form"""
+_FOUND = """
+  SELECT c.row_id, CAST(n.venue_id AS INT) AS venue_id FROM cases c JOIN named n ON c.venue = n.venue
   UNION ALL
-  SELECT c.row_id, -1 AS venue_id FROM cases c LEFT ANTI JOIN named n ON c.venue = n.venue
-)
-SELECT row_id, CAST(venue_id AS INT) AS venue_id FROM found"""
-
-
-def _typed(engine: str) -> str:
-    return f"""SELECT venue, {_form("venue", engine)} AS form FROM (SELECT DISTINCT venue FROM {"results r WHERE venue IS NOT NULL" if engine == "spark" else "cases"}) AS d"""
+  SELECT c.row_id, CAST(-1 AS INT) AS venue_id FROM cases c LEFT ANTI JOIN named n ON c.venue = n.venue"""
 
 
-def spark_sql(k: int = MAX_EDITS, typed: str | None = None) -> str:
+def spark_steps(k: int = MAX_EDITS) -> list[tuple[str, str]]:
+    """Name and SQL of each table on the way, each written once; the last is the result."""
     segments = k + 1
     cut = f"(n DIV {segments})"
-    return f"""
-WITH {_common("spark", typed)},
-segments AS (
+    near = f"""
+WITH segments AS (
   SELECT form, venue_id, n, i, substring(form, (i - 1) * {cut} + 1, CASE WHEN i = {segments} THEN n ELSE {cut} END) AS piece
   FROM (SELECT form, venue_id, length(form) AS n, explode(sequence(1, {segments})) AS i FROM entry_forms)
   WHERE n >= {segments}
@@ -152,35 +141,59 @@ placed AS (
 candidates AS (
   SELECT DISTINCT v.form, s.form AS entry, s.venue_id FROM placed v JOIN segments s
   ON v.n = s.n AND v.i = s.i AND substring(v.form, v.at, v.size) = s.piece
-),
-near AS (SELECT form, venue_id, levenshtein(form, entry) AS edits FROM candidates WHERE levenshtein(form, entry, {k}) >= 0),
-{_REST}"""
+)
+SELECT form, venue_id, levenshtein(form, entry) AS edits FROM candidates WHERE levenshtein(form, entry, {k}) >= 0"""
+    return [
+        ("typed", f"SELECT venue, {_form('venue', 'spark')} AS form FROM (SELECT DISTINCT r.venue FROM results r WHERE r.venue IS NOT NULL)"),
+        ("entries", f"SELECT venue_id, {_form('venue_name', 'spark')} AS form FROM venue_list WHERE venue_name IS NOT NULL"),
+        ("entry_forms", _entry_forms("spark", "entries")),
+        ("forms", "SELECT DISTINCT form FROM typed"),
+        ("by_short", _BY_SHORT),
+        ("near", near),
+        ("named", _NAMED),
+        ("found", f"WITH cases AS ({_cases('spark')}) {_FOUND}"),
+    ]
 
 
 def duckdb_sql(k: int = MAX_EDITS) -> str:
     """The same result by comparing every value with every entry."""
     return f"""
-WITH {_common("duckdb")},
+WITH entries AS (SELECT venue_id, {_form("venue_name", "duckdb")} AS form FROM venue_list WHERE venue_name IS NOT NULL),
+entry_forms AS ({_entry_forms("duckdb", "entries")}),
+cases AS ({_cases("duckdb")}),
+typed AS (SELECT venue, {_form("venue", "duckdb")} AS form FROM (SELECT DISTINCT venue FROM cases) AS d),
+forms AS (SELECT DISTINCT form FROM typed),
+by_short AS ({_BY_SHORT}),
 near AS (
   SELECT f.form, e.venue_id, levenshtein(f.form, e.form) AS edits FROM forms f, entry_forms e
   WHERE f.form NOT IN (SELECT form FROM by_short) AND abs(length(f.form) - length(e.form)) <= {k} AND length(e.form) > {k} AND levenshtein(f.form, e.form) <= {k}
 ),
-{_REST.replace("LEFT ANTI JOIN", "ANTI JOIN")}"""
+named AS ({_NAMED})
+{_FOUND.replace("LEFT ANTI JOIN", "ANTI JOIN")}"""
 
 
 def map_venues(results: DataFrame, venue_list: DataFrame, k: int = MAX_EDITS) -> DataFrame:
     """row_id and venue_id of each row whose venue is typed freely; -1 where no entry is meant."""
     spark, mark = results.sparkSession, uuid.uuid4().hex
-    space = Workspace(spark, "venues")
-    names = {"results": f"kinsift_{mark}_r", "venue_list": f"kinsift_{mark}_v", "typed": f"kinsift_{mark}_t"}
-    results.select("row_id", "venue").createOrReplaceTempView(names["results"])
-    venue_list.select("venue_id", "venue_name", "short_name").createOrReplaceTempView(names["venue_list"])
-    over = lambda sql: re.sub(r"\bvenue_list\b", names["venue_list"], re.sub(r"\bresults r\b", names["results"] + " r", sql))
-    # the forms are used several times: written once
-    space.write(spark.sql(over(_typed("spark")))).createOrReplaceTempView(names["typed"])
-    out = spark.sql(over(spark_sql(k, names["typed"])))
-    for view in names.values():
-        spark.catalog.dropTempView(view)
+    space, views = Workspace(spark, "venues"), {}
+
+    def over(sql: str) -> str:
+        for name, view in views.items():
+            sql = re.sub(rf"(?<=FROM |JOIN ){name}\b", view, sql)
+        return sql
+
+    def view(name: str, df: DataFrame) -> None:
+        views[name] = f"kinsift_{mark}_{name}"
+        df.createOrReplaceTempView(views[name])
+
+    view("results", results.select("row_id", "venue"))
+    view("venue_list", venue_list.select("venue_id", "venue_name", "short_name"))
+    *steps, (_, last) = spark_steps(k)
+    for name, sql in steps:
+        view(name, space.write(spark.sql(over(sql))))
+    out = spark.sql(over(last))
+    for name in views.values():
+        spark.catalog.dropTempView(name)
     return out
 
 
