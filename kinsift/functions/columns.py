@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space of all kinds at either end.
-_SPACE = r"[\s\u0085   -     　]+"
-_EDGES = rf"^{_SPACE}|{_SPACE}$"
+#: White space of all kinds.
+_SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def quoted(name: str) -> Column:
@@ -15,7 +14,7 @@ def quoted(name: str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGES, "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def blocking_key(columns: list[Column]) -> Column:
@@ -23,15 +22,23 @@ def blocking_key(columns: list[Column]) -> Column:
     return F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
 
 
-def edit_similarity(left: Column, right: Column, missing: str = "nan") -> Column:
-    """1 - edits / longer length after trimming, case apart; 0 if either is blank. Lengths are those before lower-casing, so the result is kept at 0 or above."""
-    text = lambda c: strip(F.coalesce(c.cast("string"), F.lit("nan" if missing == "nan" else "")))
-    a, b = text(left), text(right)
+def comparable(c: Column, missing: str = "nan") -> Column:
+    """The trimmed text that edit similarity compares; a missing value is the text nan, or blank with missing='zero'."""
+    return strip(F.coalesce(c.cast("string"), F.lit("nan" if missing == "nan" else "")))
+
+
+def similarity_of(a: Column, b: Column) -> Column:
+    """Edit similarity of comparable texts."""
     longer = F.greatest(F.length(a), F.length(b))
     similar = F.greatest(F.lit(0.0), 1 - F.levenshtein(F.lower(a), F.lower(b)) / F.nullif(longer, F.lit(0)))
     return F.when((a == "") | (b == ""), F.lit(0.0)).otherwise(similar).cast("double")
 
 
+def edit_similarity(left: Column, right: Column, missing: str = "nan") -> Column:
+    """1 - edits / longer length after trimming, case apart; 0 if either is blank. Lengths are those before lower-casing, so the result is kept at 0 or above."""
+    return similarity_of(comparable(left, missing), comparable(right, missing))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -42,8 +49,9 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """v at unit length; a zero vector stays zero, null stays null."""
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)).cast("float"))
+    # the norm is bound once; inside the inner function alone it would be computed for every number
+    scaled = F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)).cast("float")))
+    return F.when(v.isNotNull(), scaled[0])
 
 
 def hashed_ngrams(text: Column, n: int = 3, buckets: int = 256) -> Column:

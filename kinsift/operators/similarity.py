@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinsift.functions.columns import edit_similarity, quoted
+from kinsift.functions.columns import comparable, quoted, similarity_of
 
 DEFAULT_THRESHOLD = 0.7
 
 
 def with_similarities(pairs: DataFrame, attributes: list[str], missing: str = "nan") -> DataFrame:
     """<a>_sim of each attribute; 0 where the pair has no such columns."""
-    has = lambda a: f"{a}_l" in pairs.columns and f"{a}_r" in pairs.columns
-    return pairs.select("*", *[(edit_similarity(quoted(f"{a}_l"), quoted(f"{a}_r"), missing) if has(a) else F.lit(0.0)).alias(f"{a}_sim") for a in attributes])
+    has = [a for a in attributes if f"{a}_l" in pairs.columns and f"{a}_r" in pairs.columns]
+    # texts are prepared in a projection of their own, which the optimiser keeps apart, so each is trimmed once
+    prepared = pairs.select("*", *[comparable(quoted(f"{a}_{s}"), missing).alias(f"__{a}_{s}") for a in has for s in ("l", "r")])
+    scores = [(similarity_of(quoted(f"__{a}_l"), quoted(f"__{a}_r")) if a in has else F.lit(0.0)).alias(f"{a}_sim") for a in attributes]
+    return prepared.select(*map(quoted, pairs.columns), *scores)
 
 
 def threshold_of(thresholds: dict[str, float], attribute: str) -> float:
