@@ -49,7 +49,7 @@ def resolve_attributes(df: DataFrame, selected: list[str] | None = None) -> list
     return chosen or [c for c in available if c.lower() != "id"]
 
 
-def match_namespaced(columns: list[str], names: list[str], namespace: str = "_grainger", limit: int = 12) -> tuple[list[str], list[str]]:
+def match_namespaced(columns: list[str], names: list[str], namespace: str = "_crm", limit: int = 12) -> tuple[list[str], list[str]]:
     """For dotted canonical names: the first column that has the last part and the namespace in its name, or is that name. Found ones (at most limit) and missing names."""
     found, missing = [], []
     for name in names:

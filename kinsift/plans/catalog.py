@@ -126,7 +126,7 @@ def queries() -> dict[str, Query]:
         "name_variants": _customers,
         "title_variants": lambda s, d: _t(s, d, "part").select("p_partkey", F.posexplode(title_variants(F.col("p_name"))).alias("pos", "variant")),
         "match_attributes": lambda s, d: _names(s, blocking.match_attributes(_t(s, d, "wide_records").columns, ["title", "author", "venue", "year", "language", "country", "institution", "publisher", "issue", "keywords", "abstract", "funding"])[0]),
-        "match_namespaced": lambda s, d: _names(s, blocking.match_namespaced(["acct_grainger_City", "x_grainger.State", "Industry"], ["_grainger.City", "_grainger.State", "_grainger.ZIP"])[0]),
+        "match_namespaced": lambda s, d: _names(s, blocking.match_namespaced(["acct_crm_City", "x_crm.State", "Industry"], ["_crm.City", "_crm.State", "_crm.ZIP"])[0]),
         "select_features": lambda s, d: blocking.select_features(_t(s, d, "part").withColumnRenamed("p_name", "p.name"), ["p.name", "p_brand"]),
         "blocking_key": lambda s, d: blocking.with_blocking_key(_t(s, d, "part"), ["p_name", "p_brand", "p_type", "p_size"], 3).select("p_name", "p_size", "blockingKey"),
         "blocking_key_nulls": lambda s, d: blocking.blocking_key_only(_t(s, d, "part").select(F.col("p_partkey").alias("id"), "p_name", F.nullif("p_brand", F.lit("Brand#11")).alias("p_brand"), "p_size"), ["p_name", "p_brand", "p_size"]).select("id", "blockingKey"),
@@ -259,7 +259,7 @@ def oracle_sql() -> dict[str, str]:
         "name_variants": f"SELECT c_custkey, unnest(range(8))::INT AS pos, unnest([{g} || ' ' || {f}, {g}[1] || '. ' || {f}, {g} || ' ' || {f}[1] || '.', {g}[1] || '. ' || {f}[1] || '.', {f} || ', ' || {g}, {f} || ', ' || {g}[1] || '.', {g} || ' Q. ' || {f}, {g}[1] || '. Q. ' || {f}]) AS variant FROM (SELECT c_custkey, {full} AS n FROM customer)",
         "title_variants": _short_titles(),
         "match_attributes": "SELECT unnest(['title', 'authors', 'venue', 'year', 'language', 'country', 'institution', 'publisher', 'issue', 'keywords', 'abstract', 'funding']) AS column_name",
-        "match_namespaced": "SELECT unnest(['acct_grainger_City', 'x_grainger.State']) AS column_name",
+        "match_namespaced": "SELECT unnest(['acct_crm_City', 'x_crm.State']) AS column_name",
         "select_features": 'SELECT p_name AS "p#name", p_brand FROM part',
         "blocking_key": "SELECT p_name, p_size, coalesce(p_name, '') || '|' || coalesce(p_brand, '') || '|' || coalesce(p_type, '') AS \"blockingKey\" FROM part",
         "blocking_key_nulls": "SELECT p_partkey AS id, coalesce(p_name, '') || '|' || coalesce(nullif(p_brand, 'Brand#11'), '') || '|' || coalesce(CAST(p_size AS VARCHAR), '') AS \"blockingKey\" FROM part",

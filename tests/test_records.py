@@ -66,7 +66,7 @@ def test_attributes(spark):
     assert blocking.resolve_attributes(df, ["year", "title"]) == ["title"]
     assert blocking.resolve_attributes(df, ["year"]) == ["title"]
     assert blocking.match_attributes(["Title", "authors"], ["title", "author", "doi"]) == (["Title", "authors"], ["doi"])
-    assert blocking.match_namespaced(["a_grainger.city", "b"], ["_grainger.City", "_grainger.Zip"]) == (["a_grainger.city"], ["_grainger.Zip"])
+    assert blocking.match_namespaced(["a_crm.city", "b"], ["_crm.City", "_crm.Zip"]) == (["a_crm.city"], ["_crm.Zip"])
     assert blocking.drop_blocking_columns(df).columns == ["id", "title", "row_id"]
 
 
