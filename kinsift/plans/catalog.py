@@ -18,7 +18,7 @@ from kinsift.streaming.scoring import score_arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
 K, NEAR = 20, 0.62
-#: Spill of the registered approx_knn, at which recall against exact search is 0.9 or more (README).
+#: Spill of the registered approx_knn and pipeline, at which recall against exact search is 0.9 or more (README).
 SPILL_ALPHA = 0.3
 #: A fixed tree over the first three axes.
 AXIS_TREE = lambda: partitioning.number_leaves(
@@ -27,6 +27,7 @@ AXIS_TREE = lambda: partitioning.number_leaves(
 ATTRIBUTES = ["title", "venue", "year"]
 THRESHOLDS = {"title": 0.5, "venue": 0.3, "year": 0.5}
 WEIGHTS = {"title": 0.5, "venue": 0.3, "year": 0.2}
+WIDE_CONFIG = PipelineConfig(("title", "authors", "venue", "year"), 4, 10, max_distance=0.5, thresholds={"title": 0.8, "authors": 0.5, "venue": 0.6, "year": 0.9}, use_partitions=True, spill_alpha=SPILL_ALPHA)
 
 
 def _axis(n: int) -> list[float]:
@@ -93,8 +94,7 @@ def _unit_values(spark: SparkSession, d: str) -> DataFrame:
 
 def _wide_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: publications of wide_records grouped by title, authors, venue and year."""
-    config = PipelineConfig(("title", "authors", "venue", "year"), 4, 10, max_distance=0.5, thresholds={"title": 0.8, "authors": 0.5, "venue": 0.6, "year": 0.9}, use_partitions=True, spill_alpha=0.02)
-    return run(_t(spark, d, "wide_records"), config).clusters.select("row_id", "id", "title", "authors", "venue", "year", "cluster_id")
+    return run(_t(spark, d, "wide_records"), WIDE_CONFIG).clusters.select("row_id", "id", "title", "authors", "venue", "year", "cluster_id")
 
 
 def _part_vectors(spark: SparkSession, d: str) -> DataFrame:

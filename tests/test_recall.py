@@ -1,6 +1,11 @@
 import numpy as np
 
+from kinsift.operators import neighbors, partitioning
+from kinsift.operators.blocking import with_blocking_key
+from kinsift.operators.embedding import hashed_embedder, with_features
+from kinsift.operators.workspace import Workspace
 from kinsift.plans import catalog
+from kinsift.sources.records import synthetic_records
 
 
 def test_registered_approx_knn_recall(spark, tmp_path):
@@ -12,3 +17,16 @@ def test_registered_approx_knn_recall(spark, tmp_path):
     exact = pairs(catalog._knn(spark, str(tmp_path)))
     found = pairs(catalog.queries()["approx_knn"](spark, str(tmp_path)))
     assert len(exact) == 12_000 and len(found & exact) / len(exact) >= 0.9
+
+
+def test_registered_pipeline_recall_at_64_leaves(spark):
+    config = catalog.WIDE_CONFIG
+    rows = with_features(with_blocking_key(synthetic_records(spark, 1200, 400), list(config.features), config.num_blocking_cols), hashed_embedder(config.buckets))
+    vectors = Workspace(spark, "recall").write(rows.select("row_id", "normFeatures"))
+    # larger tables get all 64 leaves of the configured depth; here small leaves give them
+    tree = partitioning.learn_tree(vectors, max_tree_depth=config.max_tree_depth, min_leaf_size=4)
+    assert config.use_partitions and partitioning.leaf_count(tree) == 64
+    pairs = lambda df: {(r.src_id, r.dst_id) for r in df.select("src_id", "dst_id").collect()}
+    exact = pairs(neighbors.exact_knn(vectors, config.k, metric=config.metric))
+    found = pairs(neighbors.approx_knn(vectors, tree, config.k, config.spill_alpha, metric=config.metric))
+    assert len(found & exact) / len(exact) >= 0.9
