@@ -55,13 +55,9 @@ def _labelled(spark: SparkSession, d: str, size: int = 2) -> DataFrame:
     return clusters.label_clusters(_vectors(spark, d).select("row_id", "label"), near, size)
 
 
-def _ascii(c: str):
-    return F.regexp_replace(c, "[^ -~]", "").alias(c)
-
-
 def _typed_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Directed pairs with their attributes; letters beyond ASCII left out, since SQL engines count them differently."""
-    return _t(spark, d, "candidate_pairs").dropna(subset=["src_id", "dst_id"]).select("src_id", "dst_id", "distance", *map(_ascii, ("title_l", "title_r", "venue_l", "venue_r")), "year_l", "year_r")
+    """Directed pairs with their attributes as stored, in any script; scores need no ids, so pairs with a null id stay."""
+    return _t(spark, d, "candidate_pairs").select("src_id", "dst_id", "distance", *(f"{a}_{s}" for a in ATTRIBUTES for s in ("l", "r")))
 
 
 def _scored(spark: SparkSession, d: str, missing: str = "nan") -> DataFrame:
