@@ -5,7 +5,8 @@ signatures; band and row counts are chosen for the target recall at the least si
 (the phonetic code of the family name, and the usual one of the entity that the name operator gives), so works with like titles by
 different authors don't meet, and with a hot author only titles that share a band do. Titles that are cut off or abbreviated have two
 further keys: their first letters, and the initials of their first content words.
-Records without a usable author meet all others in stricter bands. Pairs are verified on their full n-gram sets and word by word:
+Records without a usable author meet all others in stricter bands, and in the same bands and by the same two keys with the year or the
+venue in place of the author's code. Pairs are verified on their full n-gram sets and word by word:
 part numbers, editions and a content word that differs make another publication, and so do other authors or another venue of the
 list. Re-deliveries (same feed and id) belong together whatever their content. Accepted pairs are clustered, and the rows of a
 cluster come out paired where neither part number nor venue speaks against it.
@@ -122,6 +123,31 @@ def _keyed(bands: int, strict_bands: int):
     return run
 
 
+def _seconded(bands: int):
+    """Each representative once for each band and outline with its year, and with its venue: one of the two must be equal where no author speaks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            titles, venues, ids, years = (batch.column(c).to_pylist() for c in ("title", "venue", "venue_id", "year"))
+            parts = [split_title(t)[0] for t in titles]
+            found = []
+            for k in (k for k, words in enumerate(parts) if words):
+                year = _valid_year(years[k])
+                venue = f"v{ids[k]}" if ids[k] is not None and ids[k] > 0 else f"t{venues[k]}" if isinstance(venues[k], str) and len(venues[k]) > 3 else None
+                found += [(k, s) for s in (None if year is None else f"y{year}", venue) if s]
+            for at in range(0, len(found), 2000):
+                some = found[at : at + 2000]
+                usable = sorted({k for k, _ in some})
+                place = {k: n for n, k in enumerate(usable)}
+                close = _bands(signatures([grams(parts[k]) for k in usable], bands * BAND_ROWS), BAND_ROWS, bands)
+                close = np.concatenate([close, np.array([[_hash(o) for o in _outlines(parts[k])] for k in usable], np.uint64)], axis=1)
+                keys = _mixed(close[[place[k] for k, _ in some]] ^ np.array([_hash(s) for _, s in some], np.uint64)[:, None])
+                reps = batch.column("rep").take(pa.array(np.repeat([k for k, _ in some], keys.shape[1])))
+                yield pa.RecordBatch.from_arrays([reps, pa.array(keys.ravel().view(np.int64))], ["rep", "key"])
+
+    return run
+
+
 def _valid_year(year) -> int | None:
     if year is None:
         return None
@@ -238,7 +264,10 @@ def group_publications(results: DataFrame, venue_list: DataFrame) -> DataFrame:
     a, n, other = keyed.where("side = 0"), keyed.where("side = 1"), keyed.where("side > 0")
     meet = lambda x, y: x.select("key", F.col("rep").alias("a")).join(y.select("key", F.col("rep").alias("b")), "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     one_way = a.select("key", F.col("rep").alias("a")).join(a.select("key", F.col("rep").alias("b")), "key").where("a < b").select("a", "b")
-    pairs = one_way.unionByName(meet(n, other)).distinct()
+    # records without an author are few: their keys are written, those of all records only pass by
+    seconded = lambda df: df.select("rep", "title", "venue", "venue_id", "year").mapInArrow(_seconded(bands), "rep long, key long")
+    lone = space.write(seconded(reps.where("code is null")))
+    pairs = one_way.unionByName(meet(n, other)).unionByName(meet(lone, seconded(reps))).distinct()
     side = lambda s: reps.select(F.col("rep").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in _SIDES))
     full = pairs.join(side("a"), "a").join(side("b"), "b")
     accepted = full.repartition(parallelism(spark)).mapInArrow(_verify, "a long, b long")
