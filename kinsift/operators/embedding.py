@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,14 +37,37 @@ def hashed_embedder(buckets: int = 256, n: int = 3) -> Embedder:
 
 
 def batch_embedder(encode: Callable[[list[str]], list[list[float]]]) -> Embedder:
-    """An embedder around any function from a batch of texts to vectors, such as a sentence encoder."""
+    """An embedder around any function from a batch of texts to vectors."""
+    return model_embedder(lambda: encode)
+
+
+def model_embedder(load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> Embedder:
+    """An embedder around a model: load() gives the function from a batch of texts to vectors, such as a sentence encoder's, and is called once in each task, not once a batch."""
     @F.pandas_udf("array<float>")
-    def embed(texts: pd.Series) -> pd.Series:
-        return pd.Series([list(map(float, v)) for v in encode(texts.fillna("").tolist())])
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = load()
+        for texts in batches:
+            yield pd.Series([list(map(float, v)) for v in encode(texts.fillna("").tolist())])
 
     return embed
 
 
+def named_embedder(name: str) -> Embedder:
+    """hashed, hashed:<buckets> or hashed:<buckets>:<n>, or <module>:<function>, where function() loads a model for model_embedder."""
+    kind, *rest = name.split(":")
+    if kind == "hashed":
+        return hashed_embedder(*map(int, rest))
+    if len(rest) != 1:
+        raise ValueError(f"no such model: {name}")
+
+    def load():
+        import importlib
+
+        return getattr(importlib.import_module(kind), rest[0])()
+
+    return model_embedder(load)
+
+
 def with_features(df: DataFrame, embedder: Embedder | None = None, key: str = "blockingKey") -> DataFrame:
     """features of the key and normFeatures at unit length."""
     embed = embedder or hashed_embedder()

@@ -1,4 +1,4 @@
-"""k nearest neighbours: exact in blocks, exact as one expression (the specification), and approximate over spilled partitions."""
+"""k nearest neighbours: exact in blocks, exact as one expression (the specification), and approximate over spilled tree partitions or the cells of centroids."""
 
 from __future__ import annotations
 
@@ -12,12 +12,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinsift.functions.columns import dot, norm
-from kinsift.operators.partitioning import Node, assign_partition, spill_partitions
+from kinsift.operators.cells import fit_cells, place_in_cells
+from kinsift.operators.partitioning import Node, assign_partition, sampled, spill_partitions
+from kinsift.operators.workspace import Workspace
 
 #: Rows of a block of stored and of searching vectors; distances are ranked at this many decimals, ties by the smaller id.
 POINT_BLOCK, QUERY_BLOCK, DECIMALS = 4096, 8192, 9
 #: Below this squared L2 or cosine distance a neighbour counts as a duplicate for drop_zero_distance.
 ZERO_DISTANCE = 1e-6
+#: Rows that a cell of centroid_knn should hold.
+CELL_ROWS = 1024
 
 
 def _distances(q: np.ndarray, p: np.ndarray, metric: str) -> np.ndarray:
@@ -91,14 +95,11 @@ def exact_knn_expression(df: DataFrame, k: int = 20, vector: str = "normFeatures
     return _ranked(pairs, k)
 
 
-def approx_knn(df: DataFrame, tree: Node, k: int = 20, alpha: float = 0.3, vector: str = "normFeatures", id_column: str = "row_id", metric: str = "cosine", point_block: int = POINT_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """Neighbours within the partitions that a row spills to; rows are stored in one partition. Partitions larger than a block are cut into blocks."""
-    rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
-    placed = assign_partition(spill_partitions(rows, tree, alpha, "v"), tree, "v")
-    n = rows.count()
-    # bounds for any partition, whatever the skew: a partition gets as many blocks as its own rows and searches need
-    stored = {r.partition_id: math.ceil(r.n / point_block) for r in placed.groupBy("partition_id").agg(F.count(F.lit(1)).alias("n")).collect() if r.n > point_block} if n > point_block else {}
-    asked = {r.p: math.ceil(r.n / query_block) for r in placed.select(F.explode("queryPartitions").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect() if r.n > query_block} if n > query_block else {}
+def cell_knn(placed: DataFrame, k: int = 20, metric: str = "cosine", point_block: int = POINT_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """Neighbours of placed rows: id, v, partition_id (where a row is stored) and queryPartitions (where it searches). Partitions larger than a block are cut into blocks, so no task holds more than one block of either kind. placed is read several times: write it first."""
+    # one row for each partition, and there are no more of them than the index has
+    sizes = placed.groupBy(F.col("partition_id").alias("p")).agg(F.count(F.lit(1)).alias("stored")).join(placed.select(F.explode("queryPartitions").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("asked")), "p").where((F.col("stored") > point_block) | (F.col("asked") > query_block)).collect()
+    stored, asked = {r.p: math.ceil(r.stored / point_block) for r in sizes}, {r.p: math.ceil(r.asked / query_block) for r in sizes}
     number = lambda d, c: F.coalesce(F.create_map(*[x for i, m in d.items() for x in (F.lit(i), F.lit(m))])[F.col(c)], F.lit(1)) if d else F.lit(1)
     points = placed.select(F.col("partition_id").alias("p"), "id", "v").select("p", F.pmod(F.xxhash64("id"), number(stored, "p")).cast("int").alias("pb"), F.explode(F.sequence(F.lit(0), number(asked, "p") - 1)).alias("qb"), F.lit(0).alias("role"), "id", "v")
     queries = placed.select(F.explode("queryPartitions").alias("p"), "id", "v").select("p", F.explode(F.sequence(F.lit(0), number(stored, "p") - 1)).alias("pb"), F.pmod(F.xxhash64("id"), number(asked, "p")).cast("int").alias("qb"), F.lit(1).alias("role"), "id", "v")
@@ -106,6 +107,27 @@ def approx_knn(df: DataFrame, tree: Node, k: int = 20, alpha: float = 0.3, vecto
     return _ranked(found, k)
 
 
+def approx_knn(df: DataFrame, tree: Node, k: int = 20, alpha: float = 0.3, vector: str = "normFeatures", id_column: str = "row_id", metric: str = "cosine", point_block: int = POINT_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """Neighbours within the tree partitions that a row spills to; rows are stored in one partition."""
+    rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
+    placed = Workspace(df.sparkSession, "tree").write(assign_partition(spill_partitions(rows, tree, alpha, "v"), tree, "v"))
+    return cell_knn(placed, k, metric, point_block, query_block)
+
+
+def centroid_knn(df: DataFrame, k: int = 20, recall: float = 0.95, vector: str = "normFeatures", id_column: str = "row_id", metric: str = "cosine", cell_rows: int = CELL_ROWS, sample_size: int = 24_000, point_block: int = POINT_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """Neighbours by an inverted file: rows are stored in the cell of their nearest centroid and search as many of the nearest cells as the sample needed for this recall.
+
+    Centroids and the number of cells to search come from a bounded sample drawn over all rows; the number of cells follows the row
+    count, so a search looks at about the same number of rows at any size until the sample gives no more cells (sample_size / 8).
+    """
+    rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
+    n = rows.count()
+    sample = sampled(rows, "v", "id", sample_size, n)
+    cells = fit_cells(sample, max(1, min(round(n / cell_rows), len(sample) // 8)), k, recall, metric)
+    placed = Workspace(df.sparkSession, "cells").write(place_in_cells(rows, cells, metric))
+    return cell_knn(placed, k, metric, point_block, query_block)
+
+
 def nest_neighbors(ranked: DataFrame, id_column: str = "row_id") -> DataFrame:
     """One row per source: neighbors as array of (neighbor, distance), nearest first; at most k each."""
     packed = F.array_sort(F.collect_list(F.struct("rank", F.col("dst_id").alias("neighbor"), "distance")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -64,13 +65,36 @@ def number_leaves(tree: Node) -> Node:
     return tree
 
 
-def learn_tree(df: DataFrame, vector: str = "normFeatures", order: str = "row_id", sample_size: int = 100_000, max_tree_depth: int = 6, min_leaf_size: int = 1000) -> Node:
-    """A tree learned from the first sample_size rows (a bounded sample; null vectors don't count). Splits that leave a side empty are not made."""
-    rows = df.where(F.col(vector).isNotNull()).orderBy(order).select(F.col(vector).cast("array<double>").alias("v")).limit(sample_size).toArrow()["v"].combine_chunks()
-    if not len(rows):
-        return number_leaves(Node())
-    x = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-    return number_leaves(_grow(x, 0, max_tree_depth, min_leaf_size))
+def sampled(df: DataFrame, vector: str, id_column: str, size: int, rows: int | None = None) -> np.ndarray:
+    """At most size vectors, drawn evenly over all rows by a hash of the id (the same rows whatever the layout), as a matrix on the driver; null vectors don't count."""
+    usable = df.where(F.col(vector).isNotNull() & F.col(id_column).isNotNull())
+    n = usable.count() if rows is None else rows
+    if n > size:
+        every = 1 << 20
+        usable = usable.where(F.pmod(F.xxhash64(F.lit(29), id_column), F.lit(every)) < int(every * size / n))
+    taken = usable.select(F.col(vector).cast("array<float>").alias("v")).limit(size).toArrow()["v"].combine_chunks()
+    return taken.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(taken), -1) if len(taken) else np.zeros((0, 0))
+
+
+def depth_for(rows: int, leaf_rows: int = 4096) -> int:
+    """The depth at which an even tree over so many rows has leaves of leaf_rows at most."""
+    return max(0, math.ceil(math.log2(max(rows, 1) / leaf_rows)))
+
+
+def learn_tree(df: DataFrame, vector: str = "normFeatures", order: str = "row_id", sample_size: int = 100_000, max_tree_depth: int | None = 6, min_leaf_size: int = 1000, head: bool = False) -> Node:
+    """A tree learned from a bounded sample: drawn over all rows by a hash of the order column, or its first sample_size rows (head=True). Null vectors don't count.
+
+    max_tree_depth=None takes the depth from the number of rows (depth_for), as far as min_leaf_size allows. Splits that leave a side
+    empty are not made.
+    """
+    n = df.where(F.col(vector).isNotNull()).count() if max_tree_depth is None or not head else None
+    if head:
+        rows = df.where(F.col(vector).isNotNull()).orderBy(order).select(F.col(vector).cast("array<float>").alias("v")).limit(sample_size).toArrow()["v"].combine_chunks()
+        x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1) if len(rows) else np.zeros((0, 0))
+    else:
+        x = sampled(df, vector, order, sample_size, n)
+    depth = depth_for(n or 0) if max_tree_depth is None else max_tree_depth
+    return number_leaves(_grow(x, 0, depth, min_leaf_size) if len(x) else Node())
 
 
 def _path(node: Node | None, v: Column) -> Column:
@@ -93,23 +117,48 @@ def _spill(node: Node | None, v: Column, alpha: float) -> Column:
     return F.when(v.isNull(), F.array().cast("array<int>")).when(both, F.concat(left, right)).when(p <= F.lit(node.threshold), left).otherwise(right)
 
 
-def _walk(node: Node | None, x: np.ndarray, rows: np.ndarray, alpha: float | None, into: list[list[int]]) -> None:
-    """Adds to each row the leaves that it reaches."""
-    if node is None or not len(rows):
-        return
-    if node.is_leaf:
-        for r in rows:
-            into[r].append(node.partition_id)
-        return
-    p = x[rows] @ np.array(node.hyperplane)
-    near = np.abs(p - node.threshold) <= alpha * node.spread if alpha is not None else np.zeros(len(p), bool)
-    _walk(node.left, x, rows[near | (p <= node.threshold)], alpha, into)
-    _walk(node.right, x, rows[near | (p > node.threshold)], alpha, into)
+def flat_tree(tree: Node) -> tuple[np.ndarray, ...]:
+    """The tree as plain arrays, which executors read without this package: left and right child (-1: none), leaf id (-1: inner node), threshold, spread and hyperplane of each node."""
+    nodes: list[Node] = []
+
+    def add(node: Node) -> int:
+        nodes.append(node)
+        place = len(nodes) - 1
+        children.append([-1, -1])
+        if not node.is_leaf:
+            children[place] = [add(side) if side is not None else -1 for side in (node.left, node.right)]
+        return place
+
+    children: list[list[int]] = []
+    add(tree)
+    width = max((len(n.hyperplane) for n in nodes if n.hyperplane is not None), default=1)
+    planes = np.array([n.hyperplane if n.hyperplane is not None else [0.0] * width for n in nodes])
+    return np.array(children), np.array([n.partition_id if n.is_leaf else -1 for n in nodes]), np.array([n.threshold for n in nodes]), np.array([n.spread for n in nodes]), planes
+
+
+def _walk(tree: tuple[np.ndarray, ...], x: np.ndarray, rows: np.ndarray, alpha: float | None) -> list[list[int]]:
+    """The leaves that each row of x reaches."""
+    children, leaf, threshold, spread, planes = tree
+    into: list[list[int]] = [[] for _ in range(len(x))]
+    work = [(0, rows)]
+    while work:
+        node, here = work.pop()
+        if node < 0 or not len(here):
+            continue
+        if children[node][0] < 0 and children[node][1] < 0:
+            for r in here if leaf[node] >= 0 else ():
+                into[r].append(int(leaf[node]))
+            continue
+        p = x[here] @ planes[node]
+        near = np.abs(p - threshold[node]) <= alpha * spread[node] if alpha is not None else np.zeros(len(p), bool)
+        work.append((children[node][0], here[near | (p <= threshold[node])]))
+        work.append((children[node][1], here[near | (p > threshold[node])]))
+    return into
 
 
 def _reached(df: DataFrame, tree: Node, vector: str, alpha: float | None, name: str) -> DataFrame:
     """By batches of rows, for trees too large for one expression."""
-    shared = df.sparkSession.sparkContext.broadcast(tree)  # at most 2^depth nodes
+    shared = df.sparkSession.sparkContext.broadcast(flat_tree(tree))  # at most 2^(depth + 1) nodes of a tree that a bounded sample gave
     place = df.columns.index(vector)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +170,7 @@ def _reached(df: DataFrame, tree: Node, vector: str, alpha: float | None, name:
                 flat = vectors.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
                 x = np.zeros((batch.num_rows, flat.shape[1]))
                 x[rows] = flat
-                _walk(shared.value, x, rows, alpha, into)
+                into = _walk(shared.value, x, rows, alpha)
             added = pa.array([w[0] if w else -1 for w in into], pa.int32()) if alpha is None else pa.array([sorted(w) for w in into], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, added], [*batch.schema.names, name])
 

@@ -11,14 +11,25 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, else of the context; a local folder only where none is set, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir of the session, else of the context. Only a local master, as in tests, gets a folder of its own where none is set."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
+        context_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        known = context_dir.get() if context_dir.isDefined() else None
+    if not known:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="kinsift-shared-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Partitions for CPU-heavy stages: as many as the shuffle uses, at least one per core."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -28,7 +39,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 class Workspace:
-    """Tables written to cut lineage; they survive lost executors and go when the process ends."""
+    """Tables written to the shared folder to cut lineage. They survive lost executors; drop() deletes one early, the rest goes when the process ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.count = spark, 0
@@ -36,10 +47,18 @@ class Workspace:
         atexit.register(_delete, spark, self.root)
 
     def write(self, df: DataFrame) -> DataFrame:
+        """df written as Parquet and read again."""
         self.count += 1
         path = f"{self.root}/{self.count:04d}"
         df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._kinsift_path = path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        path = getattr(df, "_kinsift_path", None)
+        if path:
+            _delete(self.spark, path)
 
 
 def dense_index(df: DataFrame, *order: str | Column, name: str = "row_id", start: int | Column = 0) -> DataFrame:

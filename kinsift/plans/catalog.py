@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinsift.config import PipelineConfig
-from kinsift.functions.columns import hashed_ngrams, name_variants, title_variants, unit
+from kinsift.functions.columns import _SPACES, hashed_ngrams, name_variants, title_variants, unit
 from kinsift.operators import blocking, clusters, neighbors, pairs, partitioning, reports, similarity
 from kinsift.operators.embedding import hashed_embedder, with_features
 from kinsift.operators.workspace import Workspace
@@ -18,7 +18,7 @@ from kinsift.streaming.scoring import score_arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
 K, NEAR = 20, 0.62
-#: Spill of the registered approx_knn and pipeline, at which recall against exact search is 0.9 or more (README).
+#: Spill of the registered approx_knn, at which recall against exact search is 0.9 or more (README).
 SPILL_ALPHA = 0.3
 #: A fixed tree over the first three axes.
 AXIS_TREE = lambda: partitioning.number_leaves(
@@ -27,7 +27,7 @@ AXIS_TREE = lambda: partitioning.number_leaves(
 ATTRIBUTES = ["title", "venue", "year"]
 THRESHOLDS = {"title": 0.5, "venue": 0.3, "year": 0.5}
 WEIGHTS = {"title": 0.5, "venue": 0.3, "year": 0.2}
-WIDE_CONFIG = PipelineConfig(("title", "authors", "venue", "year"), 4, 10, max_distance=0.5, thresholds={"title": 0.8, "authors": 0.5, "venue": 0.6, "year": 0.9}, use_partitions=True, spill_alpha=SPILL_ALPHA)
+WIDE_CONFIG = PipelineConfig(("title", "authors", "venue", "year"), 4, 10, max_distance=0.5, thresholds={"title": 0.8, "authors": 0.5, "venue": 0.6, "year": 0.9}, use_partitions=True, index="centroids")
 
 
 def _axis(n: int) -> list[float]:
@@ -76,7 +76,14 @@ def _csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     nation = _t(spark, d, "nation")
     path = Workspace(spark, "csv").root
     records.save_records(nation, path)
-    return spark.read.option("header", True).option("escape", '"').schema(nation.schema).csv(path)
+    return records.load_records(spark, path, nation.schema)
+
+
+def _load_row_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Row ids by position in a file; the one that the file brings along is replaced."""
+    path = Workspace(spark, "csv").root
+    records.save_records(_t(spark, d, "nation").orderBy("n_nationkey").withColumn("row_id", F.lit(7)), path, single_file=True)
+    return records.assign_row_id(records.load_records(spark, path)).select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", "row_id")
 
 
 def _customers(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +101,12 @@ def _wide_pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _part_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return with_features(blocking.with_blocking_key(_t(spark, d, "part"), ["p_name", "p_brand", "p_type"]), hashed_embedder(64))
+    return with_features(blocking.with_blocking_key(_t(spark, d, "part").withColumnRenamed("p_partkey", "id"), ["p_name", "p_brand", "p_type"]), hashed_embedder(64))
+
+
+def _model(spark: SparkSession, d: str, settings: neighbors.NearestNeighbors, column: str = "neighbors") -> DataFrame:
+    table = _vectors(spark, d)
+    return settings.fit(table).transform(table).select("row_id", "label", F.posexplode(column).alias("pos", "n")).select("row_id", "label", "pos", F.col("n.neighbor").alias("neighbor"), F.round("n.distance", 6).alias("distance"))
 
 
 def _learned(spark: SparkSession, d: str) -> tuple[DataFrame, partitioning.Node]:
@@ -119,17 +131,18 @@ def queries() -> dict[str, Query]:
         "detect_features_part": lambda s, d: _names(s, records.detect_features(_t(s, d, "part"))),
         "row_ids": lambda s, d: records.assign_row_id(_t(s, d, "part"), "p_partkey").select("p_partkey", "row_id"),
         "csv_round_trip": _csv_round_trip,
+        "load_row_ids": _load_row_ids,
         "minimal_sample": lambda s, d: records.minimal_sample(s),
         "synthetic_records": lambda s, d: records.synthetic_records(s),
         "name_variants": _customers,
         "title_variants": lambda s, d: _t(s, d, "part").select("p_partkey", F.posexplode(title_variants(F.col("p_name"))).alias("pos", "variant")),
         "match_attributes": lambda s, d: _names(s, blocking.match_attributes(_t(s, d, "wide_records").columns, ["title", "author", "venue", "year", "language", "country", "institution", "publisher", "issue", "keywords", "abstract", "funding"])[0]),
-        "match_namespaced": lambda s, d: _names(s, blocking.match_namespaced(["acct_crm_City", "x_crm.State", "Industry"], ["_crm.City", "_crm.State", "_crm.ZIP"])[0]),
+        "match_namespaced": lambda s, d: _names(s, blocking.match_namespaced([f"acct_crm.{c}" for c in _t(s, d, "customer").columns], ["_crm.C_NAME", "_crm.c_mktsegment", "_crm.zip", "_crm.c_acctbal"])[0]),
         "select_features": lambda s, d: blocking.select_features(_t(s, d, "part").withColumnRenamed("p_name", "p.name"), ["p.name", "p_brand"]),
         "blocking_key": lambda s, d: blocking.with_blocking_key(_t(s, d, "part"), ["p_name", "p_brand", "p_type", "p_size"], 3).select("p_name", "p_size", "blockingKey"),
         "blocking_key_nulls": lambda s, d: blocking.blocking_key_only(_t(s, d, "part").select(F.col("p_partkey").alias("id"), "p_name", F.nullif("p_brand", F.lit("Brand#11")).alias("p_brand"), "p_size"), ["p_name", "p_brand", "p_size"]).select("id", "blockingKey"),
         "hashed_ngrams": lambda s, d: _t(s, d, "part").select("p_partkey", F.explode(hashed_ngrams(F.concat_ws("|", "p_name", "p_brand"))).alias("bucket")).groupBy("p_partkey", "bucket").agg(F.count(F.lit(1)).alias("n")).select("p_partkey", F.col("bucket").cast("long").alias("bucket"), "n"),
-        "hashed_embedding": lambda s, d: _part_vectors(s, d).select("blockingKey", F.aggregate("features", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("grams"), F.size(F.filter("features", lambda x: x > 0)).cast("long").alias("buckets")),
+        "hashed_embedding": lambda s, d: _part_vectors(s, d).select("id", "normFeatures", F.posexplode("features").alias("bucket", "n")).where("n > 0").select("id", F.col("bucket").cast("long").alias("bucket"), F.col("n").cast("long").alias("n"), F.round(F.element_at("normFeatures", F.col("bucket") + 1).cast("double"), 5).alias("part")),
         "l2_norm": _unit_values,
         "assign_partition": lambda s, d: placed(s, d).select("row_id", "partition_id"),
         "spill_partitions": lambda s, d: spilled(s, d).select("row_id", F.explode("queryPartitions").alias("partition_id")),
@@ -141,7 +154,9 @@ def queries() -> dict[str, Query]:
         "knn_cosine": lambda s, d: _rounded(_knn(s, d), "distance"),
         "knn_sqeuclidean": lambda s, d: _rounded(_knn(s, d, metric="sqeuclidean"), "distance"),
         "knn_nonzero": lambda s, d: _rounded(_knn(s, d, metric="sqeuclidean", drop_zero_distance=True), "distance"),
-        "neighbors_model": lambda s, d: neighbors.NearestNeighbors(K).fit(v(s, d)).transform(v(s, d)).select("row_id", "label", F.size("neighbors").cast("long").alias("found")),
+        "centroid_knn": lambda s, d: neighbors.centroid_knn(v(s, d), K, cell_rows=128).select("src_id", "dst_id", F.round("distance", 6).alias("distance")),
+        "neighbors_model": lambda s, d: _model(s, d, neighbors.NearestNeighbors(K)),
+        "neighbors_model_sqeuclidean": lambda s, d: _model(s, d, neighbors.NearestNeighbors(K, metric="sqeuclidean", drop_zero_distance=True, prediction_col="near"), "near"),
         "explode_pairs": lambda s, d: _rounded(pairs.explode_neighbors(nested(s, d)).drop("pos"), "distance"),
         "enrich_pairs": lambda s, d: _rounded(pairs.extract_pairs(nested(s, d), v(s, d), ["label"]), "distance"),
         "comparison_pairs": lambda s, d: _rounded(pairs.comparison_pairs(_near(s, d), v(s, d), ["label", "row_id"]), "distance"),
@@ -181,34 +196,70 @@ knn AS (SELECT * FROM (SELECT src_id, dst_id, distance, row_number() OVER (PARTI
 
 
 _SQUARED = "list_sum(list_transform(list_zip(a.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
-_COMPONENTS = """both_ways AS (SELECT src_id AS a, dst_id AS b FROM near UNION SELECT dst_id, src_id FROM near),
-reach AS (SELECT a AS node, b AS other FROM both_ways UNION SELECT a, a FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
-comp AS (SELECT node, min(other) AS component FROM reach GROUP BY node)"""
+
+
+def _components(near: str = "near", tag: str = "") -> str:
+    return f"""both_ways{tag} AS (SELECT src_id AS a, dst_id AS b FROM {near} UNION SELECT dst_id, src_id FROM {near}),
+reach{tag} AS (SELECT a AS node, b AS other FROM both_ways{tag} UNION SELECT a, a FROM both_ways{tag} UNION SELECT r.node, e.b FROM reach{tag} r JOIN both_ways{tag} e ON r.other = e.a),
+comp{tag} AS (SELECT node, min(other) AS component FROM reach{tag} GROUP BY node)"""
 
 
 def _near_cte(bound: float = NEAR) -> str:
-    return f"{_knn_cte()}, near AS (SELECT * FROM knn WHERE distance <= {bound}), {_COMPONENTS}"
+    return f"{_knn_cte()}, near AS (SELECT * FROM knn WHERE distance <= {bound}), {_components()}"
 
 
-def _labelled_cte(size: int = 2) -> str:
-    return f"""{_near_cte()},
-sized AS (SELECT component FROM comp GROUP BY component HAVING count(*) >= {size}),
+def _numbered_cte(ids: str, size: int = 2) -> str:
+    """Cluster numbers of the components of near, and after them one each for the other ids of a table."""
+    return f"""sized AS (SELECT component FROM comp GROUP BY component HAVING count(*) >= {size}),
 firsts AS (SELECT c.component, min(n.src_id) AS first_src FROM near n JOIN comp c ON n.src_id = c.node GROUP BY c.component),
 numbered AS (SELECT s.component, row_number() OVER (ORDER BY f.first_src) - 1 AS cluster_id FROM sized s JOIN firsts f USING (component)),
 multi AS (SELECT c.node AS row_id, n.cluster_id FROM comp c JOIN numbered n USING (component)),
-single AS (SELECT id AS row_id, (SELECT count(*) FROM numbered) + row_number() OVER (ORDER BY id) - 1 AS cluster_id FROM e WHERE id NOT IN (SELECT row_id FROM multi)),
+single AS (SELECT id AS row_id, (SELECT count(*) FROM numbered) + row_number() OVER (ORDER BY id) - 1 AS cluster_id FROM {ids} WHERE id NOT IN (SELECT row_id FROM multi))"""
+
+
+def _labelled_cte(size: int = 2) -> str:
+    return f"""{_near_cte()},
+{_numbered_cte("e", size)},
 labelled AS (SELECT m.row_id, m.cluster_id, e.label FROM (SELECT * FROM multi UNION ALL SELECT * FROM single) m JOIN e ON e.id = m.row_id),
 sizes AS (SELECT cluster_id, count(*) AS size FROM labelled GROUP BY cluster_id)"""
 
 
-def _lev(a: str, missing: str = "nan") -> str:
-    side = lambda s: f"trim(coalesce(regexp_replace(CAST({a}_{s} AS VARCHAR), '[^ -~]', '', 'g'), '{missing}'))"
-    left, right = side("l"), side("r")
-    return f"CASE WHEN {left} = '' OR {right} = '' THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - levenshtein(lower({left}), lower({right}))::DOUBLE / greatest(length({left}), length({right}))) END"
+def _scores(source: str, attributes: list[str], keep: str, missing: str = "nan") -> str:
+    """CTEs that end in scored: the kept columns of a table and <a>_sim, from <a>_l and <a>_r in code points. DuckDB's levenshtein counts bytes, so the letters of a pair are numbered first: each becomes one ASCII character."""
+    each = [(a, s) for a in attributes for s in ("l", "r")]
+    letters = lambda c: f"list_transform(range(1, length({c}) + 1), lambda i: {c}[i])"
+    trimmed = ", ".join(f"trim(coalesce(CAST({a}_{s} AS VARCHAR), '{missing}'), '{_SPACES}') AS {a}_t{s}" for a, s in each)
+    lower = ", ".join(f"lower({a}_t{s}) AS {a}_w{s}" for a, s in each)
+    known = ", ".join(f"list_distinct(list_concat({letters(f'{a}_wl')}, {letters(f'{a}_wr')})) AS {a}_k" for a in attributes)
+    coded = ", ".join(f"array_to_string(list_transform({letters(f'{a}_w{s}')}, lambda c: chr(list_position({a}_k, c)::INT)), '') AS {a}_c{s}" for a, s in each)
+    scores = ", ".join(f"CASE WHEN {a}_tl = '' OR {a}_tr = '' THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - levenshtein({a}_cl, {a}_cr)::DOUBLE / greatest(length({a}_tl), length({a}_tr))) END AS {a}_sim" for a in attributes)
+    return f"""s1 AS MATERIALIZED (SELECT {keep}, {trimmed} FROM {source}), s2 AS MATERIALIZED (SELECT *, {lower} FROM s1), s3 AS MATERIALIZED (SELECT *, {known} FROM s2),
+s4 AS MATERIALIZED (SELECT *, {coded} FROM s3), scored AS (SELECT {keep}, {scores} FROM s4)"""
 
 
 def _scored_cte(missing: str = "nan") -> str:
-    return "scored AS (SELECT src_id, dst_id, " + ", ".join(f"{_lev(a, missing)} AS {a}_sim" for a in ATTRIBUTES) + " FROM candidate_pairs WHERE src_id IS NOT NULL AND dst_id IS NOT NULL)"
+    return _scores("candidate_pairs", ATTRIBUTES, "src_id, dst_id", missing)
+
+
+def _pipeline_sql() -> str:
+    """The flagship with exact neighbours; the same where a table has rows for one cell only."""
+    c = WIDE_CONFIG
+    key = " || '|' || ".join(f"coalesce(CAST({f} AS VARCHAR), '')" for f in c.features or ())
+    sides = ", ".join(f"l.{f} AS {f}_l, r.{f} AS {f}_r" for f in c.features or ())
+    passes = " AND ".join(f"{f}_sim >= {c.thresholds[f]}" for f in c.features or ())
+    return f"""WITH RECURSIVE e AS (SELECT row_id::BIGINT AS id, lower({key}) AS k FROM wide_records),
+g AS (SELECT id, unnest(list_transform(range(1, greatest(length(k) - 2, 1) + 1), lambda i: substr(k, i, 3))) AS gram FROM e WHERE k <> ''),
+h AS (SELECT id, ('0x' || substr(md5(gram), 1, 6))::BIGINT % {c.buckets} AS bucket, count(*)::DOUBLE AS n FROM g GROUP BY ALL),
+u AS (SELECT id, bucket, (n / sqrt(sum(n * n) OVER (PARTITION BY id)))::FLOAT::DOUBLE AS x FROM h),
+w AS (SELECT id, bucket, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM u),
+d AS (SELECT a.id AS src_id, b.id AS dst_id, round(1 - sum(a.x * b.x), 9) AS distance FROM w a JOIN w b ON a.bucket = b.bucket AND a.id <> b.id GROUP BY ALL),
+knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY distance, dst_id) AS rank FROM d) WHERE rank <= {c.k} AND distance <= {c.max_distance}),
+sides AS (SELECT src_id, dst_id, {sides} FROM knn JOIN wide_records l ON l.row_id = src_id JOIN wide_records r ON r.row_id = dst_id),
+{_scores("sides", list(c.features or ()), "src_id, dst_id")},
+near AS (SELECT src_id, dst_id FROM scored WHERE {passes}),
+{_components()},
+{_numbered_cte("e", c.min_cluster_size)}
+SELECT r.row_id, r.id, r.title, r.authors, r.venue, r.year, m.cluster_id FROM wide_records r JOIN (SELECT * FROM multi UNION ALL SELECT * FROM single) m ON m.row_id = r.row_id"""
 
 
 _PASS = " AND ".join(f"{a}_sim >= {t}" for a, t in THRESHOLDS.items())
@@ -256,13 +307,14 @@ def oracle_sql() -> dict[str, str]:
         "minimal_sample": f"SELECT 'id_' || i AS id, {list(records.SAMPLE_TITLES)}[i // 5 + 1] AS title, {list(records.SAMPLE_AUTHORS)}[i // 5 + 1] AS authors, {list(records.SAMPLE_VENUES)}[i // 10 + 1] AS venue, 2020 AS year FROM range(20) t(i)",
         "name_variants": f"SELECT c_custkey, unnest(range(8))::INT AS pos, unnest([{g} || ' ' || {f}, {g}[1] || '. ' || {f}, {g} || ' ' || {f}[1] || '.', {g}[1] || '. ' || {f}[1] || '.', {f} || ', ' || {g}, {f} || ', ' || {g}[1] || '.', {g} || ' Q. ' || {f}, {g}[1] || '. Q. ' || {f}]) AS variant FROM (SELECT c_custkey, {full} AS n FROM customer)",
         "title_variants": _short_titles(),
-        "match_attributes": "SELECT unnest(['title', 'authors', 'venue', 'year', 'language', 'country', 'institution', 'publisher', 'issue', 'keywords', 'abstract', 'funding']) AS column_name",
-        "match_namespaced": "SELECT unnest(['acct_crm_City', 'x_crm.State']) AS column_name",
+        "match_attributes": "WITH cols AS (SELECT row_number() OVER () AS n, column_name FROM (DESCRIBE SELECT * FROM wide_records)), names AS (SELECT unnest(['title', 'author', 'venue', 'year', 'language', 'country', 'institution', 'publisher', 'issue', 'keywords', 'abstract', 'funding']) AS name) SELECT arg_min(column_name, n) AS column_name FROM names JOIN cols ON contains(lower(column_name), name) OR contains(name, lower(column_name)) GROUP BY name",
+        "match_namespaced": "SELECT 'acct_crm.' || column_name AS column_name FROM (DESCRIBE SELECT * FROM customer) WHERE column_name IN ('c_name', 'c_mktsegment', 'c_acctbal')",
+        "load_row_ids": "SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS row_id FROM nation",
         "select_features": 'SELECT p_name AS "p#name", p_brand FROM part',
         "blocking_key": "SELECT p_name, p_size, coalesce(p_name, '') || '|' || coalesce(p_brand, '') || '|' || coalesce(p_type, '') AS \"blockingKey\" FROM part",
         "blocking_key_nulls": "SELECT p_partkey AS id, coalesce(p_name, '') || '|' || coalesce(nullif(p_brand, 'Brand#11'), '') || '|' || coalesce(CAST(p_size AS VARCHAR), '') AS \"blockingKey\" FROM part",
         "hashed_ngrams": f"WITH g AS (SELECT p_partkey, unnest(list_transform(range(1, greatest(length({grams}) - 2, 1) + 1), lambda i: substr({grams}, i, 3))) AS gram FROM part) SELECT p_partkey, (('0x' || substr(md5(gram), 1, 6))::BIGINT % 256) AS bucket, count(*) AS n FROM g GROUP BY ALL",
-        "hashed_embedding": "WITH k AS (SELECT row_number() OVER () AS n, p_name || '|' || p_brand || '|' || p_type AS \"blockingKey\" FROM part), g AS (SELECT n, \"blockingKey\", unnest(list_transform(range(1, greatest(length(\"blockingKey\") - 2, 1) + 1), lambda i: substr(lower(\"blockingKey\"), i, 3))) AS gram FROM k) SELECT \"blockingKey\", count(*)::DOUBLE AS grams, count(DISTINCT ('0x' || substr(md5(gram), 1, 6))::BIGINT % 64) AS buckets FROM g GROUP BY n, \"blockingKey\"",
+        "hashed_embedding": "WITH k AS (SELECT p_partkey AS id, lower(p_name || '|' || p_brand || '|' || p_type) AS k FROM part), g AS (SELECT id, unnest(list_transform(range(1, greatest(length(k) - 2, 1) + 1), lambda i: substr(k, i, 3))) AS gram FROM k), h AS (SELECT id, ('0x' || substr(md5(gram), 1, 6))::BIGINT % 64 AS bucket, count(*) AS n FROM g GROUP BY ALL) SELECT id, bucket, n, round((n / sqrt(sum(n * n) OVER (PARTITION BY id)))::FLOAT::DOUBLE, 5) AS part FROM h",
         "l2_norm": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 2) AS v FROM embeddings) SELECT vec_id, unnest(range(len(v)))::INT AS pos, round((unnest(v) / sqrt(list_sum(list_transform(v, lambda x: x * x))))::FLOAT::DOUBLE, 5) AS value FROM e",
         "assign_partition": f"SELECT vec_id AS row_id, {_TREE} AS partition_id FROM embeddings",
         "spill_partitions": f"WITH {_SPILL} SELECT * FROM spilled",
@@ -272,7 +324,8 @@ def oracle_sql() -> dict[str, str]:
         "knn_cosine": f"WITH {_knn_cte()} SELECT src_id, dst_id, round(distance, 6) AS distance, rank FROM knn",
         "knn_sqeuclidean": f"WITH {_knn_cte(_SQUARED)} SELECT src_id, dst_id, round(distance, 6) AS distance, rank FROM knn",
         "knn_nonzero": f"WITH {_knn_cte(_SQUARED, 'distance > 0.000001')} SELECT src_id, dst_id, round(distance, 6) AS distance, rank FROM knn",
-        "neighbors_model": f"WITH {_knn_cte()} SELECT e.id AS row_id, any_value(e.label) AS label, count(*) AS found FROM e JOIN knn ON e.id = knn.src_id GROUP BY e.id",
+        "neighbors_model": f"WITH {_knn_cte()} SELECT src_id AS row_id, e.label, (rank - 1)::INT AS pos, dst_id AS neighbor, round(distance, 6) AS distance FROM knn JOIN e ON e.id = src_id",
+        "neighbors_model_sqeuclidean": f"WITH {_knn_cte(_SQUARED, 'distance > 0.000001')} SELECT src_id AS row_id, e.label, (rank - 1)::INT AS pos, dst_id AS neighbor, round(distance, 6) AS distance FROM knn JOIN e ON e.id = src_id",
         "explode_pairs": f"WITH {_knn_cte()} SELECT src_id, dst_id, round(distance, 6) AS distance FROM knn",
         "enrich_pairs": f"WITH {_knn_cte()} SELECT src_id, dst_id, round(distance, 6) AS distance, l.label AS label_l, r.label AS label_r FROM knn LEFT JOIN e l ON l.id = src_id LEFT JOIN e r ON r.id = dst_id",
         "comparison_pairs": f"WITH {_knn_cte()} SELECT src_id, dst_id, round(distance, 6) AS distance, l.label AS label_l, l.id AS row_id_l, r.label AS label_r, r.id AS row_id_r FROM knn LEFT JOIN e l ON l.id = src_id LEFT JOIN e r ON r.id = dst_id WHERE distance <= {NEAR}",
@@ -285,7 +338,7 @@ def oracle_sql() -> dict[str, str]:
         "overall_similarity": f"WITH {_scored_cte()} SELECT src_id, dst_id, round(({' + '.join(f'{a}_sim * {w}::DOUBLE' for a, w in WEIGHTS.items())}) / {sum(WEIGHTS.values())}, 6) AS overall_similarity FROM scored",
         "similarity_stats": f"WITH {_scored_cte()} {stats}",
         "connected_components": f"WITH RECURSIVE {_near_cte()} SELECT node, component FROM comp",
-        "components_candidate_pairs": f"WITH RECURSIVE near AS (SELECT DISTINCT src_id, dst_id FROM candidate_pairs WHERE src_id <> dst_id), {_COMPONENTS} SELECT node, component FROM comp",
+        "components_candidate_pairs": f"WITH RECURSIVE near AS (SELECT DISTINCT src_id, dst_id FROM candidate_pairs WHERE src_id <> dst_id), {_components()} SELECT node, component FROM comp",
         "cluster_labels": f"WITH RECURSIVE {_labelled_cte()} SELECT row_id, label, cluster_id FROM labelled",
         "min_cluster_size": f"WITH RECURSIVE {_labelled_cte(3)} SELECT row_id, label, cluster_id FROM labelled",
         "cluster_sizes": f"WITH RECURSIVE {_labelled_cte()} SELECT cluster_id, size FROM sizes",
@@ -296,6 +349,11 @@ def oracle_sql() -> dict[str, str]:
         "top_clusters": f"WITH RECURSIVE {_labelled_cte()}, top AS (SELECT * FROM sizes WHERE size > 1 ORDER BY size DESC, cluster_id LIMIT 10) SELECT cluster_id, label, row_id AS member, size FROM labelled JOIN top USING (cluster_id)",
         "neighbor_count": f"WITH {_knn_cte()} SELECT count(*) AS pairs FROM knn",
         "mean_distance": "SELECT round(avg(distance), 6) AS mean_distance FROM candidate_pairs",
+        "compare_methods": f"""WITH RECURSIVE {_knn_cte()}, near AS (SELECT * FROM knn WHERE distance <= 0.65),
+strict AS (SELECT n.* FROM near n JOIN e a ON a.id = src_id JOIN e b ON b.id = dst_id WHERE 1 - levenshtein(a.label::VARCHAR, b.label::VARCHAR)::DOUBLE / greatest(length(a.label::VARCHAR), length(b.label::VARCHAR)) >= 0.9),
+{_components()}, {_components("strict", "_s")}, m AS (SELECT (SELECT count(DISTINCT component) FROM comp_s) AS multi_with, (SELECT count(DISTINCT component) FROM comp) AS multi_without)
+SELECT multi_with, multi_without, multi_without - multi_with AS fewer FROM m""",
+        "pipeline_e2e": _pipeline_sql(),
         "overview": "SELECT (SELECT count(*) FROM part) AS records, (SELECT count(*) FROM (DESCRIBE SELECT * FROM part)) AS columns",
         "column_ranges": " UNION ALL ".join(f"SELECT '{c}' AS column, count(DISTINCT {c}) AS distinct_values, min({c})::VARCHAR AS least, max({c})::VARCHAR AS greatest FROM wide_records" for c in ("year", "volume", "issue", "citation_count", "h_index")),
         "head_preview": "SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 10",

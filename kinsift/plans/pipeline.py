@@ -11,7 +11,7 @@ from kinsift.config import PipelineConfig
 from kinsift.operators.blocking import alias, resolve_attributes, with_blocking_key
 from kinsift.operators.clusters import label_clusters
 from kinsift.operators.embedding import Embedder, hashed_embedder, with_features
-from kinsift.operators.neighbors import approx_knn, exact_knn, nest_neighbors
+from kinsift.operators.neighbors import approx_knn, centroid_knn, exact_knn, nest_neighbors
 from kinsift.operators.pairs import clustering_distance, enrich_pairs, filter_by_distance
 from kinsift.operators.partitioning import assign_partition, learn_tree
 from kinsift.operators.reports import cluster_summary
@@ -52,7 +52,11 @@ def run(df: DataFrame, config: PipelineConfig | None = None, embedder: Embedder
     records = df if "row_id" in df.columns and not row_order else assign_row_id(df, *row_order)
     keyed = with_blocking_key(records, features, config.num_blocking_cols)
     vectors = space.write(with_features(keyed, embedder or hashed_embedder(config.buckets)))
-    if config.use_partitions:
+    if config.use_partitions and config.index not in ("tree", "centroids"):
+        raise ValueError(f"no such index: {config.index}")
+    if config.use_partitions and config.index == "centroids":
+        ranked = centroid_knn(vectors, config.k, config.least_recall, metric=config.metric)
+    elif config.use_partitions:
         tree = learn_tree(vectors, sample_size=config.sample_size, max_tree_depth=config.max_tree_depth, min_leaf_size=config.min_leaf_size)
         vectors = space.write(assign_partition(vectors, tree))
         ranked = approx_knn(vectors, tree, config.k, config.spill_alpha, metric=config.metric)

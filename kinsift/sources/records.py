@@ -4,18 +4,34 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinsift.operators.workspace import dense_index
 
 
+def _is_parquet(spark: SparkSession, path: str) -> bool:
+    """By the ends of the names: of the path, or of the data files in a directory."""
+    if path.endswith(".parquet"):
+        return True
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not system.getFileStatus(target).isDirectory():
+            return False
+        names = [str(f.getPath().getName()) for f in system.listStatus(target)]
+    except Exception:  # a pattern of names has no status of its own
+        return False
+    return any(n.endswith(".parquet") for n in names)
+
+
 def load_records(spark: SparkSession, path: str, schema=None, null_values: tuple[str, ...] = ("NA", "None", "NaN", "nan", "N/A", "null")) -> DataFrame:
-    """A CSV file with header (types inferred unless a schema is given) or Parquet. Raises FileNotFoundError for a missing local path."""
+    """CSV with header (types inferred unless a schema is given) or Parquet; a file or a directory of files, such as save_records writes. Raises FileNotFoundError for a missing local path."""
     local = path.removeprefix("file://")
     if "://" not in local and not os.path.exists(local):
         raise FileNotFoundError(path)
-    if path.endswith(".parquet") or os.path.isdir(local):
+    if _is_parquet(spark, path):
         return spark.read.parquet(path)
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     df = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
@@ -40,10 +56,17 @@ def detect_features(df: DataFrame) -> list[str]:
 
 
 def assign_row_id(df: DataFrame, *order: str) -> DataFrame:
-    """Dense 0-based row_id in the order of the given columns (all columns if none); an existing row_id is replaced."""
+    """Dense 0-based row_id in the order of the given columns, else of the rows' positions in their files (by name); an existing row_id is replaced."""
     plain = df.drop("row_id")
-    keys = [F.col(f"`{c}`") for c in (order or plain.columns)]
-    return dense_index(plain, *keys)
+    if order:
+        return dense_index(plain, *[F.col(f"`{c}`") for c in order])
+    try:
+        placed = plain.withColumn("_file", F.col("_metadata.file_path")).withColumn("_start", F.col("_metadata.file_block_start"))
+        placed.schema  # resolved here, if at all
+    except AnalysisException:  # no scan of files: the order of partitions is all there is
+        placed = plain.withColumn("_file", F.lit("")).withColumn("_start", F.lit(0))
+    placed = placed.withColumn("_place", F.monotonically_increasing_id())
+    return dense_index(placed, "_file", "_start", "_place").drop("_file", "_start", "_place")
 
 
 #: Fixed values of the minimal sample: titles and authors for five records each, venues for ten.

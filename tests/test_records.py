@@ -1,9 +1,11 @@
+from types import SimpleNamespace
+
 import pytest
 
 from kinsift.functions.columns import blocking_key, edit_similarity, hashed_ngrams, name_variants, title_variants, unit
 from kinsift.operators import blocking
-from kinsift.operators.embedding import batch_embedder, hashed_embedder, with_features
-from kinsift.operators.workspace import dense_index
+from kinsift.operators.embedding import batch_embedder, hashed_embedder, model_embedder, named_embedder, with_features
+from kinsift.operators.workspace import dense_index, shared_dir
 from kinsift.sources import records
 from pyspark.sql import functions as F
 
@@ -41,6 +43,54 @@ def test_csv_round_trip_and_missing_values(spark, tmp_path):
         records.save_records(None, "x")
 
 
+def test_what_was_saved_is_read_back(spark, tmp_path):
+    df = spark.createDataFrame([(k, f'a "{k}"', None if k == 3 else "x") for k in range(20)], "id int, t string, u string")
+    for name in ("rows", "rows.parquet", "plain"):
+        records.save_records(df.repartition(3), str(tmp_path / name))
+        assert sorted(map(tuple, records.load_records(spark, str(tmp_path / name)).collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    df.write.parquet(str(tmp_path / "unnamed"))
+    assert records.load_records(spark, str(tmp_path / "unnamed")).count() == 20
+
+
+def test_row_ids_by_position_replace_old_ones(spark, tmp_path):
+    lines = [f"{k * 7 % 50},{k},99" for k in range(50)]
+    (tmp_path / "in.csv").write_text("k,place,row_id\n" + "\n".join(lines) + "\n")
+    rows = records.assign_row_id(records.load_records(spark, str(tmp_path / "in.csv"))).collect()
+    assert len(rows) == 50 and all(r.row_id == r.place for r in rows)
+    made = spark.range(30).coalesce(1).selectExpr("id AS n", "5 AS row_id")
+    assert all(r.row_id == r.n for r in records.assign_row_id(made).collect())
+
+
+def test_a_model_is_loaded_once_a_task(spark, tmp_path):
+    seen = str(tmp_path / "loads")
+
+    def load():
+        with open(seen, "a") as f:
+            f.write("x")
+        return lambda texts: [[len(t), 1] for t in texts]
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        texts = spark.createDataFrame([("abc",), ("",), (None,), ("a",), ("b",)], "blockingKey string").coalesce(1)
+        rows = with_features(texts, model_embedder(load)).select("features").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r.features[0] for r in rows] == [3.0, 0.0, 0.0, 1.0, 1.0] and (tmp_path / "loads").read_text() == "x"
+    assert with_features(texts, named_embedder("hashed:16")).first().features == with_features(texts, hashed_embedder(16)).first().features
+    with pytest.raises(ValueError):
+        named_embedder("nothing")
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    def session(master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: None, set=lambda k, v: None), sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda k: None), _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False)))))
+
+    assert shared_dir(session("local[4]")).startswith("file://")
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master))
+
+
 def test_samples(spark):
     assert records.minimal_sample(spark).count() == 20
     made = records.synthetic_records(spark, 40, 10)
