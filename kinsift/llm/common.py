@@ -1,73 +1,34 @@
-"""Shared folder, written intermediate tables and small helpers of this subpackage."""
+"""Small helpers of this subpackage; shared folder and written tables are the engine's."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 
+from kinsift.operators.workspace import Workspace, parallelism, shared_dir
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+__all__ = ["Workspace", "is_blank", "meet", "parallelism", "shared_dir", "table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, else of the context; a local one only where none is set."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not known:
-        context_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        known = context_dir.get() if context_dir.isDefined() else None
-    if not known:
-        known = "file://" + tempfile.mkdtemp(prefix="kinsift-shared-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone already when the process ends
-        pass
-
-
-class Workspace:
-    """Tables written to the shared folder to cut lineage. They survive lost executors; drop() deletes one early, the rest goes at exit."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/kinsift-{name}-{uuid.uuid4().hex}"
-        self.count = 0
-        atexit.register(_delete, spark, self.root)
-
-    def path(self) -> str:
-        self.count += 1
-        return f"{self.root}/{self.count:04d}"
-
-    def write(self, df: DataFrame) -> DataFrame:
-        """df written as Parquet and read again."""
-        path = self.path()
-        df.write.mode("overwrite").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._kinsift_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        path = getattr(df, "_kinsift_path", None)
-        if path:
-            _delete(self.spark, path)
+#: Rows of one key that meet in one task; keys with more are split.
+KEY_ROWS = 5_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def parallelism(spark: SparkSession) -> int:
-    """Partitions for CPU-heavy stages: as many as the shuffle uses, at least one per core."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
 def is_blank(column) -> Column:
     """True for null and for text of white space only, no-break spaces included."""
     return column.isNull() | (F.length(F.regexp_replace(column, r"[\s\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]+", "")) == 0)
+
+
+def meet(space: Workspace, left: DataFrame, right: DataFrame, key: str, row: str, key_rows: int = KEY_ROWS) -> DataFrame:
+    """left joined with right on key, where row is an id that only left has. Keys that more than key_rows rows of right have are split: their left rows are
+    spread over salts by row, and their right rows are copied to each salt, so that no pair is lost and none comes twice. The hot keys are written, so Spark knows their size before it
+    chooses a join for them."""
+    hot = space.write(right.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > key_rows).select(key, F.ceil(F.col("_n") / key_rows).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    spread = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(row), salts).cast("int")).drop("_salts")
+    copied = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return spread.join(copied, [key, "_salt"]).drop("_salt")

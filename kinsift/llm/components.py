@@ -1,10 +1,10 @@
 """Consolidating pairwise matches into groups (problem 3): union-find over edge partitions, merged level by level.
 
-Each level spreads the edges evenly over bounded partitions (by a hash of the whole edge, so a node that occurs in a third of all
-edges makes no hot partition). A partition runs union-find and keeps only a spanning forest, as stars from each node to the local
+Each level counts its edges and spreads them over as many partitions as the bound asks for (by a hash of the whole edge, so a node that
+occurs in a third of all edges makes no hot partition). A partition runs union-find and keeps only a spanning forest, as stars from each node to the local
 root. Nodes that are root in no partition then retire: they keep a pointer to one local root, and their other stars become edges
 between roots. So the forest shrinks from level to level by at least the retired nodes, and levels use fewer partitions, until the
-rest fits one bounded partition. Roots are chosen by a hash that changes with the level, so of n nodes with mean degree d about
+rest fits one bounded partition: the last level takes a single task only once its edges are within the bound. Roots are chosen by a hash that changes with the level, so of n nodes with mean degree d about
 n/(d+1) or more retire in each level, whatever the shape (chains, stars). At the end the pointers are followed back, level by level,
 and each group gets its smallest member.
 
@@ -25,6 +25,15 @@ from .common import Workspace, parallelism, table
 #: Edges that one partition takes, at about 100 bytes of working memory an edge.
 EDGES_PER_PARTITION = 1_000_000
 _MAX_LEVELS = 60
+#: The first level uses further partitions, up to the usual parallelism, while they would hold so many edges.
+SMALL_EDGES = 50_000
+
+
+def partitions_for(edges: int, bound: int) -> int:
+    """Partitions over which a hash spreads the edges so that none gets more than the bound: the mean leaves six standard deviations of room (at most half, for very small bounds)."""
+    if edges <= bound:
+        return 1
+    return -(-edges // max(1, bound // 2, int(bound - 6 * bound**0.5)))
 
 
 def _mix(ids: np.ndarray, level: int) -> np.ndarray:
@@ -91,12 +100,12 @@ def connected_components(edges: DataFrame, src: str = "src_id", dst: str = "dst_
     spark: SparkSession = edges.sparkSession
     space = workspace or Workspace(spark, "components")
     u, v = F.col(src).cast("long"), F.col(dst).cast("long")
-    active = edges.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).where(u.isNotNull() & v.isNotNull() & (u != v))
-    known, pointers = None, []  # known: edges of this level, unknown before the first
-    parts = parallelism(spark)
+    active = space.write(edges.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).where(u.isNotNull() & v.isNotNull() & (u != v)))
+    known, pointers = active.count(), []  # known: edges of this level
     for level in range(_MAX_LEVELS):
-        if known is not None:
-            parts = max(1, min(parts, -(-known // edges_per_partition)))
+        parts = partitions_for(known, edges_per_partition)
+        if parts == 1 and level == 0:
+            parts = min(parallelism(spark), max(1, known // SMALL_EDGES))  # enough work for several tasks, though one could hold it
         spread = active.repartition(parts, "u", "v") if parts > 1 else active.coalesce(1)
         stars = space.write(spread.mapInArrow(_forest(level, edges_per_partition), "node long, root long"))
         if parts == 1:
@@ -118,7 +127,7 @@ def connected_components(edges: DataFrame, src: str = "src_id", dst: str = "dst_
         ends = rest.select("u").union(rest.select("v")).distinct()
         finished = node.where("is_root").join(ends, node.node == ends.u, "left_anti").select("node", F.col("node").alias("up"))
         pointers[-1] = pointers[-1].union(finished)
-        active, parts = rest, max(1, parts // 4)
+        active = rest
     else:
         raise RuntimeError("the components did not converge")
     labels = tops

@@ -51,6 +51,42 @@ def test_components_against_brute_force(spark, bound):
     assert connected_components(df.limit(0)).count() == 0
 
 
+def test_no_partition_gets_more_edges_than_the_bound(spark, monkeypatch, tmp_path):
+    """Every level writes down the edges of each partition; the last one may be a single task only within the bound."""
+    from kinsift.llm import components
+
+    forest, bound, folder = components._forest, 1000, str(tmp_path)
+
+    def watched(level, batch_edges):
+        inner = forest(level, batch_edges)
+
+        def run(batches):
+            import os
+
+            from pyspark import TaskContext
+
+            held = list(batches)
+            part = TaskContext.get().partitionId()
+            with open(os.path.join(folder, f"{level}-{part}"), "w") as f:
+                f.write(str(sum(b.num_rows for b in held)))
+            yield from inner(iter(held))
+
+        return run
+
+    monkeypatch.setattr(components, "_forest", watched)
+    rng = random.Random(3)
+    edges = [(rng.randrange(20_000), rng.randrange(20_000)) for _ in range(15_000)] + [(k, k + 1) for k in range(30_000, 36_000)] + [(40_000, k) for k in range(40_001, 46_000)]
+    df = spark.createDataFrame(edges, "src_id long, dst_id long")
+    got = {r.node: r.component for r in connected_components(df, edges_per_partition=bound).collect()}
+    assert got == brute(edges)
+    sizes = {}
+    for f in tmp_path.iterdir():
+        level, _ = f.name.split("-")
+        sizes.setdefault(int(level), []).append(int(f.read_text()))
+    assert len(sizes) > 3 and len(sizes[0]) > 20 and len(sizes[max(sizes)]) == 1
+    assert max(n for level in sizes.values() for n in level) <= bound
+
+
 def test_ids_that_are_no_record_link_nothing(spark):
     pairs = spark.createDataFrame([(1, 99), (99, 2), (3, 4), (4, 3), (4, 4), (None, 1)], "src_id long, dst_id long")
     rows = spark.createDataFrame([(k,) for k in (1, 2, 3, 4, 4, None)], "row_id long")
