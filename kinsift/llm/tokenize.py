@@ -156,10 +156,12 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 def encode_corpus(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """One row per document: the id column and ids array<int>. Narrow: no shuffle."""
     spark = documents.sparkSession
-    merges = spark.sparkContext.broadcast(read_merges(tokenizer))  # some 50,000 pairs, fixed by the vocabulary
+    t = read_merges(tokenizer)
+    # some 50,000 pairs, fixed by the vocabulary; plain arrays, which executors read without this package
+    merges = spark.sparkContext.broadcast((t.byte_ids, t.keys, t.ranks, t.made))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Encoder(merges.value)
+        encoder = _Encoder(MergeTable(*merges.value))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for begin, end in _slices(texts):
