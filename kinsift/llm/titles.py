@@ -16,21 +16,37 @@ _NUMBERS = {w: str(k) for k, w in enumerate("one two three four five six seven e
 FILLER = {"a", "an", "the", "of", "on", "in", "for", "with", "and", "under", "to", "by", "approach"}
 
 
+class _Bare(dict):
+    """For str.translate: drops combining signs, keeps all else; filled as characters come up."""
+
+    def __missing__(self, code: int) -> int | None:
+        self[code] = kept = None if unicodedata.combining(chr(code)) else code
+        return kept
+
+
+_BARE = _Bare()
+_TAG, _DOUBLE, _BROKEN = re.compile(r"</?\w+>"), re.compile(r"[Â-ô][\x80-¿]+"), re.compile(r"(?<=\w)- +(?=\w)")
+
+
+def _decode(m: re.Match) -> str:
+    try:
+        return m[0].encode("latin-1").decode("utf-8")
+    except UnicodeError:
+        return m[0]
+
+
 def repair(text: str) -> str:
     """Entities, tags, doubled encoding and signs set right; lost letters stay as U+FFFD."""
-    text = html.unescape(html.unescape(text))
-    text = re.sub(r"</?\w+>", " ", text)
-
-    def decode(m: re.Match) -> str:
-        try:
-            return m[0].encode("latin-1").decode("utf-8")
-        except UnicodeError:
-            return m[0]
-
-    text = re.sub(r"[Â-ô][\x80-¿]+", decode, text)
-    text = text.replace("&", "and").replace("_", " ")
-    text = "".join(c for c in unicodedata.normalize("NFKD", text.replace("­", "").replace("…", "...")) if not unicodedata.combining(c))
-    return re.sub(r"(?<=\w)- +(?=\w)", "", text).lower()
+    if "&" in text:
+        text = html.unescape(html.unescape(text))
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    if not text.isascii():
+        text = _DOUBLE.sub(_decode, text)
+        text = unicodedata.normalize("NFKD", text.replace("&", "and").replace("_", " ").replace("\xad", "").replace("…", "...")).translate(_BARE)
+    else:
+        text = text.replace("&", "and").replace("_", " ")
+    return (_BROKEN.sub("", text) if "- " in text else text).lower()
 
 
 def split_title(title: str | None) -> tuple[list[str], str, bool]:

@@ -67,7 +67,23 @@ def test_leaks_against_brute_force(spark):
 
 def test_layout_and_writing_do_not_matter():
     assert c.words("Cla-\n> imed &amp; the ﬁrst mayor’s hаll") == ["claimed", "and", "the", "first", "mayors", "hall"]
-    assert c.align([1, 2, 3, 4], [9, 1, 2, 7, 4, 9], 1) and not c.align([1, 2, 3, 4], [9, 1, 7, 8, 4, 9], 1)
+    assert c.align(c.masks([1, 2, 3, 4]), 4, [9, 1, 2, 7, 4, 9], 1) and not c.align(c.masks([1, 2, 3, 4]), 4, [9, 1, 7, 8, 4, 9], 1)
+
+
+def edit_table(sentence, window):
+    row = [0] * (len(window) + 1)
+    for i, x in enumerate(sentence, 1):
+        new = [i]
+        for j, y in enumerate(window, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 4), min_size=1, max_size=80), st.lists(st.integers(-1, 4), max_size=90), st.integers(0, 12))
+def test_alignment_by_bits_equals_the_table(sentence, window, most):
+    assert c.align(c.masks(sentence), len(sentence), window, most) == (edit_table(sentence, window) <= most)
 
 
 SUBJECT_WORDS = {"law": "court judge statute appeal clause verdict".split(), "sport": "goal referee league sprint medal coach".split(), "biology": "enzyme genome tissue plankton spore cell".split()}
