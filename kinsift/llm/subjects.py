@@ -2,13 +2,14 @@
 
 Words and pairs of words within a sentence are hashed into BUCKETS columns. A term weighs its inverse document frequency times how
 much it tells subjects apart among the labelled documents (Kullback-Leibler distance of its subjects from the usual ones). A
-randomised truncated SVD over all documents gives DIMENSIONS latent directions; the directions in which documents of one subject
+randomised truncated SVD over all documents (power passes with OVERSAMPLED further directions, then a rotation to the leading ones)
+gives DIMENSIONS latent directions; the directions in which documents of one subject
 differ anyway are scaled down. Seeds are the mean directions of the labelled documents of a subject. They are refined iteratively:
 every document clearly nearest to a centroid takes part in its next mean, half of which stays the seed. A document gets each subject whose centroid
 has a cosine above the threshold that serves the labelled documents best, so it may get several or none.
 
 Terms, weights, decomposition and refinement cover all documents; the seeds come from at most MOST_LABELLED labelled ones. Each pass
-leaves one partial matrix of fixed size per core, summed by blocks. Labels are read whatever their case, blanks and separators;
+leaves one partial matrix of fixed size per core; they are summed by blocks in levels of FAN_IN, so no task adds up more than that. Labels are read whatever their case, blanks and separators;
 those of no subject of the list are ignored, contradictory ones share a document. Labelled documents and null or blank texts get no
 rows. Repeated rows come out once. Long texts are read whole. Without labels or documents the result is empty.
 """
@@ -28,6 +29,8 @@ from .common import Workspace, is_blank, parallelism, table
 from .titles import repair
 
 BUCKETS, DIMENSIONS, BLOCK = 1 << 16, 96, 1024
+#: Directions that the decomposition carries beyond those kept, and matrices that one task adds up.
+OVERSAMPLED, FAN_IN = 16, 32
 #: Documents with labels that the seeds, weights of terms and the threshold come from.
 MOST_LABELLED = 20_000
 #: Least documents of a term; what a term weighs that tells nothing apart; ridge of the scaling; passes of power iteration and refinement.
@@ -108,18 +111,25 @@ class Rows:
             into[bucket[starts[at : at + 4096]]] += np.add.reduceat(z[row[low:high]] * value[low:high, None], starts[at : at + 4096] - low, axis=0)
 
 
-def _summed(partial: DataFrame, rows: int, columns: int) -> np.ndarray:
-    """The sum of the tasks' matrices (part int, x binary: blocks of float64 or float32 rows); of fixed size, so it goes to the driver."""
+def _summed(partial: DataFrame, rows: int, columns: int, tasks: int) -> np.ndarray:
+    """The sum of the tasks' matrices (part int, x binary: blocks of float32 rows), added up in levels of FAN_IN; of fixed size, so it goes to the driver."""
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(0)
-        for x in group["x"].to_pylist():
-            x = np.frombuffer(x, np.float32).astype(np.float64)
-            total = x if not len(total) else total + x
-        return pa.table({"part": group["part"].slice(0, 1), "x": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
+        for chunk in group["x"].chunks:
+            for x in chunk:
+                x = np.frombuffer(x.as_buffer(), np.float32).astype(np.float64)
+                total = x if not len(total) else total + x
+        return pa.table({"part": group["part"].slice(0, 1), "task": group["task"].slice(0, 1), "x": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    level = partial.withColumn("task", F.spark_partition_id())
+    while True:
+        level = level.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("int")).groupBy("part", "task").applyInArrow(add, "part int, task int, x binary")
+        tasks = -(-tasks // FAN_IN)
+        if tasks <= 1:
+            break
     out = np.zeros((rows, columns), np.float32)
-    for r in partial.groupBy("part").applyInArrow(add, "part int, x binary").toLocalIterator():
+    for r in level.toLocalIterator():
         x = np.frombuffer(r.x, np.float32).reshape(-1, columns)
         out[r.part * BLOCK : r.part * BLOCK + len(x)] = x
     return out
@@ -143,8 +153,8 @@ def _frequencies(subjects: int):
             for k, label in enumerate(labels):
                 if label:
                     mine = np.frombuffer(batch.column("buckets")[k].as_py(), np.int32)
-                    for s in set(label):
-                        total[mine, 1 + s] += label.count(s) / len(label)
+                    for s in label:
+                        total[mine, 1 + s] += 1 / len(label)
         yield _blocks(total)
 
     return run
@@ -248,7 +258,7 @@ def assign_subjects(documents: DataFrame, subject_list: DataFrame, subject_label
     if not names:
         return nothing
     labels = subject_labels.where("doc_id is not null").select("doc_id", codes[plain(F.col("subject"))].alias("code"))
-    labels = labels.groupBy("doc_id").agg(F.sort_array(F.slice(F.collect_list("code"), 1, 100)).alias("label"))
+    labels = labels.groupBy("doc_id").agg(F.sort_array(F.collect_set("code")).alias("label"))  # at most as many as there are subjects
     labels = space.write(labels)
     known = labels.where("size(label) > 0").count()
     if not known:
@@ -257,10 +267,11 @@ def assign_subjects(documents: DataFrame, subject_list: DataFrame, subject_label
     labels = labels.withColumn("label", F.when(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(every)) == 0, F.col("label")).otherwise(F.array().cast("array<int>")))
     texts = documents.select("doc_id", "text").where(~is_blank(F.col("text")) & F.col("doc_id").isNotNull()).join(labels, "doc_id", "left").select("doc_id", "label", "text")
     tokens = space.write(texts.repartition(parallelism(spark)).mapInArrow(_tokens, f"doc_id {kind}, label array<int>, buckets binary, counts binary"))
-    cores = tokens.coalesce(max(2, context.defaultParallelism))
+    tasks = max(2, context.defaultParallelism)
+    cores = tokens.coalesce(tasks)
 
     n = tokens.count()
-    counts = _summed(cores.mapInArrow(_frequencies(len(names)), "part int, x binary"), BUCKETS, 1 + len(names)).astype(np.float64)
+    counts = _summed(cores.mapInArrow(_frequencies(len(names)), "part int, x binary"), BUCKETS, 1 + len(names), tasks).astype(np.float64)
     df, by_subject = counts[:, 0], counts[:, 1:]
     usual = (by_subject.sum(0) + 1) / (by_subject.sum() + len(names))
     p = (by_subject + 3 * usual) / (by_subject.sum(1, keepdims=True) + 3)
@@ -268,12 +279,21 @@ def assign_subjects(documents: DataFrame, subject_list: DataFrame, subject_label
     weight = np.where(df >= LEAST_DOCUMENTS, np.maximum(weight, 0), 0).astype(np.float32)
     del counts, by_subject, p
 
-    q = np.random.default_rng(19).standard_normal((BUCKETS, DIMENSIONS)).astype(np.float32)
-    for _ in range(POWER_PASSES):
+    width = DIMENSIONS + OVERSAMPLED
+    q = np.linalg.qr(np.random.default_rng(19).standard_normal((BUCKETS, width)))[0].astype(np.float32)
+    for turn in range(POWER_PASSES):
         shared = context.broadcast((weight, q))
-        y = _summed(cores.mapInArrow(_power(shared), "part int, x binary"), BUCKETS, DIMENSIONS + 1)
-        q = np.linalg.qr(y[:, :-1])[0].astype(np.float32)
+        y = _summed(cores.mapInArrow(_power(shared), "part int, x binary"), BUCKETS, width + 1, tasks)
         shared.unpersist()
+        if turn + 1 < POWER_PASSES:
+            q = np.linalg.qr(y[:, :-1])[0].astype(np.float32)
+    # Rayleigh-Ritz in the span of A'A q: the directions of greatest share there, the oversampled ones dropped
+    small = q.T.astype(np.float64) @ y[:, :-1]
+    w, u = np.linalg.eigh((small + small.T) / 2)
+    root = u[:, ::-1] / np.sqrt(np.maximum(w[::-1], 1e-9 * max(w[-1], 1e-30)))
+    # Nystrom: y (q' y)^(-1/2) has the singular vectors of A'A restricted to the span
+    left, _, _ = np.linalg.svd(y[:, :-1].astype(np.float64) @ root, full_matrices=False)
+    q = left[:, :DIMENSIONS].astype(np.float32)
     mean = (y[:, -1] @ q) / max(1, n)
     shared = context.broadcast((weight, q))
     vectors = space.write(tokens.mapInArrow(_embedded(shared), f"doc_id {kind}, label array<int>, x binary").where("x is not null"))
@@ -295,7 +315,7 @@ def assign_subjects(documents: DataFrame, subject_list: DataFrame, subject_label
     for _ in range(REFINEMENTS):
         clear = best_threshold(e @ centres.T, truth) + 0.1
         shared = context.broadcast((mean, scale, centres, clear))
-        total = _summed(vectors.coalesce(max(2, context.defaultParallelism)).mapInArrow(_means(shared), "part int, x binary"), len(names), DIMENSIONS)
+        total = _summed(vectors.coalesce(tasks).mapInArrow(_means(shared), "part int, x binary"), len(names), DIMENSIONS, tasks)
         centres = _unit(0.5 * seed + 0.5 * _unit(total.astype(np.float64)))
     shared = context.broadcast((mean, scale, centres, best_threshold(e @ centres.T, truth)))
     return vectors.where("label is null").mapInArrow(_assigned(shared, names), f"doc_id {kind}, subject string").distinct()
