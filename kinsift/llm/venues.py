@@ -4,7 +4,9 @@ Distinct values and the list's names are brought to one form: lower-case ASCII w
 repeated short names and filler words, the kind of series first. A value that is a short name after that is mapped by equality. The
 others go through a partition-based pigeonhole join: a reference form is cut into k + 1 segments, so within k edits at least one
 segment stays whole at nearly its place; values are cut at just those places, equality-joined on (length, segment, substring), and
-verified with levenshtein. What an anti-join leaves over is reported with venue_id -1.
+verified with levenshtein. Forms with words that are cut short ("Rev. Ambient Reg.") go through the same principle over words: the
+beginnings of the list's own words are the abbreviations, one word must stay whole as far as it goes, and edits are summed over words.
+What an anti-join leaves over is reported with venue_id -1.
 
 Null and blank values are no cases, nor are values equal to a list entry. A value as near to two entries means neither. Repeated
 rows come out once per row. An empty list gives -1 everywhere, an empty table no rows.
@@ -21,13 +23,10 @@ from .common import Workspace, table
 
 #: Edits allowed between the forms of a value and an entry.
 MAX_EDITS = 2
-#: Usual abbreviations of the kinds of series and of words in their names.
+#: Usual abbreviations of the kinds of series.
 KIND_SHORT = {"review": "rev", "workshop": "wkshp", "transactions": "trans", "annual conference": "conf", "symposium": "symp", "letters": "lett", "journal": "j"}
-WORD_SHORT = {
-    "adaptive": "adapt", "analytics": "analytics", "annotation": "annot", "archives": "arch", "catalogue": "cat", "clinical": "clin", "federated": "fed", "granular": "gran", "interfaces": "interf",
-    "language": "lang", "learning": "learn", "metadata": "metad", "methods": "meth", "network": "netw", "numerical": "num", "portable": "port", "processing": "proc", "record": "rec", "registers": "reg", "retrieval": "retr",
-    "stochastic": "stoch", "symbolic": "symb", "systems": "sys", "verified": "verif",
-}
+#: Least letters of a word that is cut short.
+LEAST_LETTERS = 3
 _KINDS = "|".join(KIND_SHORT)
 _KINDS_ANY = "|".join([*KIND_SHORT, *KIND_SHORT.values()])
 #: Rules that bring a value to its form, in order; their patterns mean the same in Java and RE2.
@@ -74,24 +73,26 @@ def _form(column: str, engine: str) -> str:
     return f"regexp_replace({sql}, '^(.* .*) ({_KINDS})$', '\\2 \\1')"
 
 
-def _short(sql: str, words: dict[str, str], engine: str) -> str:
-    for full, short in words.items():
-        if full != short:
-            sql = f"regexp_replace({sql}, r'\\b{full}\\b', '{short}')" if engine == "spark" else f"regexp_replace({sql}, '\\b{full}\\b', '{short}', 'g')"
+def _short_kinds(sql: str, engine: str) -> str:
+    for full, short in KIND_SHORT.items():
+        sql = f"regexp_replace({sql}, r'\\b{full}\\b', '{short}')" if engine == "spark" else f"regexp_replace({sql}, '\\b{full}\\b', '{short}', 'g')"
     return sql
 
 
 def _entry_forms(engine: str, entries: str) -> str:
-    kinds = _short("form", KIND_SHORT, engine)
     return f"""
   SELECT form, min(venue_id) AS venue_id FROM (
     SELECT venue_id, form FROM {entries}
-    UNION ALL SELECT venue_id, {kinds} AS form FROM {entries}
-    UNION ALL SELECT venue_id, {_short("form", WORD_SHORT, engine)} AS form FROM {entries}
-    UNION ALL SELECT venue_id, {_short(kinds, WORD_SHORT, engine)} AS form FROM {entries}
+    UNION ALL SELECT venue_id, {_short_kinds("form", engine)} AS form FROM {entries}
   ) AS f WHERE form <> '' GROUP BY form HAVING min(venue_id) = max(venue_id)"""
 
 
+def _word_cost(t: str, e: str) -> str:
+    """Edits between a typed word and a word of the list, which may be cut short to LEAST_LETTERS or more, with one slip if more."""
+    beginnings = ", ".join(f"levenshtein({t}, left({e}, length({t}){d}))" for d in ("", " - 1", " + 1"))
+    return f"CASE WHEN length({t}) < {LEAST_LETTERS} THEN levenshtein({t}, {e}) WHEN left({e}, length({t})) = {t} THEN 0 WHEN length({t}) > {LEAST_LETTERS} AND least({beginnings}) <= 1 THEN 1 ELSE levenshtein({t}, {e}) END"
+
+
 def _cases(engine: str) -> str:
     bare = "regexp_replace(r.venue, r'[ \\s\\x{00A0}]+', '')" if engine == "spark" else "regexp_replace(r.venue, '[\\s\\x{00A0}]+', '', 'g')"
     return f"""
@@ -143,13 +144,32 @@ candidates AS (
   ON v.n = s.n AND v.i = s.i AND substring(v.form, v.at, v.size) = s.piece
 )
 SELECT form, venue_id, levenshtein(form, entry) AS edits FROM candidates WHERE levenshtein(form, entry, {k}) >= 0"""
+    # the same principle over words for forms with words cut short: with less edits than words, and at most k, one word stays whole as far as it goes
+    cut_short = f"""
+WITH words AS (SELECT form, n, i + 1 AS i, word FROM (SELECT form, size(split(form, ' ')) AS n, posexplode(split(form, ' ')) AS (i, word) FROM forms)),
+list_words AS (SELECT DISTINCT explode(split(form, ' ')) AS word FROM entry_forms),
+beginnings AS (SELECT DISTINCT left(word, n) AS word FROM (SELECT word, explode(sequence({LEAST_LETTERS}, length(word) - 1)) AS n FROM list_words WHERE length(word) > {LEAST_LETTERS})),
+abbreviated AS (SELECT DISTINCT w.form FROM words w LEFT SEMI JOIN beginnings b ON w.word = b.word LEFT ANTI JOIN list_words l ON w.word = l.word LEFT ANTI JOIN by_short s ON w.form = s.form),
+pieces AS (SELECT form, n, i, left(word, {LEAST_LETTERS}) AS piece FROM words w LEFT SEMI JOIN abbreviated a ON w.form = a.form),
+entry_pieces AS (
+  SELECT form, venue_id, n, i + 1 AS i, left(word, {LEAST_LETTERS}) AS piece
+  FROM (SELECT form, venue_id, size(split(form, ' ')) AS n, posexplode(split(form, ' ')) AS (i, word) FROM entry_forms)
+),
+candidates AS (
+  SELECT DISTINCT p.form, e.form AS entry, e.venue_id, p.n FROM pieces p JOIN entry_pieces e ON p.n = e.n AND p.i = e.i AND p.piece = e.piece
+)
+SELECT form, venue_id, edits FROM (
+  SELECT form, venue_id, n, aggregate(zip_with(split(form, ' '), split(entry, ' '), (t, e) -> {_word_cost("t", "e")}), 0, (a, b) -> a + b) AS edits FROM candidates
+) WHERE edits <= least({k}, n - 1)"""
     return [
         ("typed", f"SELECT venue, {_form('venue', 'spark')} AS form FROM (SELECT DISTINCT r.venue FROM results r WHERE r.venue IS NOT NULL)"),
         ("entries", f"SELECT venue_id, {_form('venue_name', 'spark')} AS form FROM venue_list WHERE venue_name IS NOT NULL"),
         ("entry_forms", _entry_forms("spark", "entries")),
         ("forms", "SELECT DISTINCT form FROM typed"),
         ("by_short", _BY_SHORT),
-        ("near", near),
+        ("near_whole", near),
+        ("near_cut", cut_short),
+        ("near", "SELECT form, venue_id, edits FROM near_whole UNION ALL SELECT form, venue_id, edits FROM near_cut"),
         ("named", _NAMED),
         ("found", f"WITH cases AS ({_cases('spark')}) {_FOUND}"),
     ]
@@ -164,7 +184,20 @@ cases AS ({_cases("duckdb")}),
 typed AS (SELECT venue, {_form("venue", "duckdb")} AS form FROM (SELECT DISTINCT venue FROM cases) AS d),
 forms AS (SELECT DISTINCT form FROM typed),
 by_short AS ({_BY_SHORT}),
+list_words AS (SELECT DISTINCT unnest(string_split(form, ' ')) AS word FROM entry_forms),
+abbreviated AS (
+  SELECT DISTINCT form FROM (SELECT form, unnest(string_split(form, ' ')) AS word FROM forms WHERE form NOT IN (SELECT form FROM by_short)) AS w
+  WHERE length(word) >= {LEAST_LETTERS} AND word NOT IN (SELECT word FROM list_words) AND EXISTS (SELECT 1 FROM list_words l WHERE starts_with(l.word, w.word))
+),
+near_cut AS (
+  SELECT form, venue_id, edits FROM (
+    SELECT a.form, e.venue_id, len(string_split(a.form, ' ')) AS n,
+      list_sum(list_transform(list_zip(string_split(a.form, ' '), string_split(e.form, ' ')), lambda x: {_word_cost("x[1]", "x[2]")})) AS edits
+    FROM abbreviated a, entry_forms e WHERE len(string_split(a.form, ' ')) = len(string_split(e.form, ' '))
+  ) AS c WHERE edits <= least({k}, n - 1)
+),
 near AS (
+  SELECT form, venue_id, edits FROM near_cut UNION ALL
   SELECT f.form, e.venue_id, levenshtein(f.form, e.form) AS edits FROM forms f, entry_forms e
   WHERE f.form NOT IN (SELECT form FROM by_short) AND abs(length(f.form) - length(e.form)) <= {k} AND length(e.form) > {k} AND levenshtein(f.form, e.form) <= {k}
 ),

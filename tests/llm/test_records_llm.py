@@ -134,6 +134,15 @@ def test_venues_are_mapped(spark, listed):
     assert {r.venue_id for r in venues.map_venues(typed, listed.limit(0)).collect()} == {-1}
 
 
+def test_abbreviations_come_from_the_list_itself(spark):
+    entries = [(7, "Bulletin of Zoological Glaciers", "BZG", "Bulletin"), (8, "Bulletin of Zoological Gardens", "BZGA", "Bulletin"), (9, "Symposium on Maritime Ceramics", "SMC", "Symposium")]
+    venue_list = spark.createDataFrame(entries, "venue_id int, venue_name string, short_name string, kind string")
+    cases = {"Bull. Zool. Glac.": 7, "Bull Zoological Gard": 8, "Symp. Marit. Ceram., 2011": 9, "Bull. Zool. Gl.": -1, "Bulle. Zolo. Gla.": 7, "Bull. Zool. G.": -1, "Bull. Zool. Xyl.": -1, "Marit. Ceram.": -1, "Cer.": -1}
+    rows = [(k, "t", "a", v, 2000, None, "f", k) for k, v in enumerate(cases)]
+    got = {r.row_id: r.venue_id for r in venues.map_venues(results(spark, rows), venue_list).collect()}
+    assert {v: got[k] for k, v in enumerate(cases)} == cases
+
+
 def test_near_duplicates(spark, listed):
     t = "Temporal Matching of Tax Records under Adversarial Input"
     rows = [
