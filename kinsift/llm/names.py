@@ -1,10 +1,11 @@
 """Variant spellings of names typed by people (problem 1).
 
-Distinct spellings are parsed to a form: a family name, a given name or its initial, and a middle initial; of an organisation the
-place and its topic words. Forms are blocked by phonetic codes of their sorted parts (the family name's code and
+Distinct spellings are parsed to a form: a family name, a given name or its initial, and a middle initial; of an institute the
+place and its topic words, of other organisations (ORGANISATIONS, COMPANY_FORMS) their distinguishing words and kinds. Forms are blocked by phonetic codes of their sorted parts (the family name's code and
 those with one digit left out, each with the code of the given name), compared with Jaro-Winkler and a nickname table, and accepted pairs are clustered by
-connected components. Forms that have but an initial are then attached where exactly one cluster fits, so that they bridge no two
-persons.
+connected components. Slips in given names need evidence of the whole table (SHARED_FAMILIES). Forms that have but an initial are then
+attached where exactly one cluster fits, so that they bridge no two persons; those that fit no full form are compared with each other.
+Keys that many forms share are split (see meet).
 
 Nulls, blanks and placeholders name nobody. Repeated rows count once, since spellings are made distinct first. Texts of any
 length are parsed whole. A name of a single word is linked to equal forms only. An empty table gives no rows.
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, parallelism, table
+from .common import Workspace, meet, parallelism, table
 from .components import connected_components
 
 #: Placeholders that name nobody.
@@ -37,14 +38,24 @@ NICKNAMES = {
 }
 #: Least Jaro-Winkler similarity of family and given names, and edits beyond which neither matches.
 FAMILY_SIMILARITY, GIVEN_SIMILARITY, EDITS = 0.84, 0.8, 2
-#: A given name of so many families is a name of its own, no misspelling.
-POPULAR_FAMILIES = 5
+#: Two given names that are alike count as one name typed in two ways if the rarer one's families have the other one too in at least this share: a slip goes
+#: with the family of the person meant, while two names of their own meet in a family by chance only. A share, so it doesn't turn with the table's size.
+SHARED_FAMILIES = 0.5
+#: Words that mark an organisation, each with its short forms; forms of companies, which don't tell organisations apart.
+ORGANISATIONS = {
+    "university": "univ", "college": "coll", "laboratory": "lab labs laboratories", "centre": "center ctr", "academy": "acad", "society": "soc", "association": "assoc", "department": "dept", "faculty": "fac",
+    "school": "sch", "ministry": "min", "agency": "", "foundation": "found fdn", "hospital": "hosp", "council": "", "committee": "comm", "consortium": "", "library": "libr", "museum": "mus", "observatory": "", "bureau": "", "corporation": "corp", "company": "co", "group": "grp",
+}
+COMPANY_FORMS = {"gmbh", "inc", "ltd", "llc", "plc", "limited", "incorporated"}  # those of two letters look like initials
 
 _FORMAL: dict[str, set[str]] = {}
 for _full, _nicks in NICKNAMES.items():
     for _nick in _nicks.split():
         _FORMAL.setdefault(_nick, set()).add(_full)
 _TITLES = re.compile(r"^\s*((dr|prof|professor|mr|mrs|ms)\b\.?\s*)+(?=\w{3}|\w\b|\w\.)|\b(phd|ph\. ?d|msc|et al|professor)\b\.?")
+_MARKS = {short: full for full, shorts in ORGANISATIONS.items() for short in (full, *shorts.split())}
+#: Short marks that are also names or initials of persons count only with a full stop or beside another mark.
+_DOUBTFUL = {"min", "co", "comm", "found", "lab", "mus", "sch", "fac", "soc", "group", "grp", "acad", "coll"}
 _CODES = {c: k for k, group in enumerate(["bp", "fvw", "ckqgx", "dt", "lr", "mn", "szj"]) for c in group}
 
 
@@ -77,6 +88,9 @@ def parse(text: str) -> tuple[str, str, str, str, str] | None:
         return None
     if re.search(r"\binst(itute)?\b", bare):
         return _parse_organisation(bare)
+    organisation = _parse_marked(bare)
+    if organisation:
+        return organisation
     head, comma, tail = bare.partition(",")
     order = "k" if comma and re.search(r"\w", tail) and re.search(r"\w", head) else "u"
     words = lambda s: re.findall(r"[^\W\d_]+", s)
@@ -108,6 +122,18 @@ def _parse_organisation(bare: str) -> tuple[str, str, str, str, str]:
     return "o", "k", " ".join(place), " ".join(topic), ""
 
 
+def _parse_marked(bare: str) -> tuple[str, str, str, str, str] | None:
+    """An organisation that says what it is ("University of Oslo", "Oslo Univ.", "Acme Research GmbH"): its distinguishing words in order of the alphabet, and its kinds. None: no mark of one."""
+    found = re.findall(r"[^\W\d_]+", bare)
+    marked = {w for w in found if w in _MARKS and (w not in _DOUBTFUL or f"{w}." in bare)}
+    company = len(found) > 1 and found[-1] in COMPANY_FORMS
+    if len(found) < 2 or not (marked or company):
+        return None
+    kinds = sorted({_MARKS[w] for w in marked})
+    rest = sorted(w for w in found if w not in marked and w not in COMPANY_FORMS and w not in {"the", "and", "of", "for", "at", "in", "on"})
+    return ("o", "k", " ".join(rest), " ".join(kinds), "") if rest else None
+
+
 def _padded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     size = np.fromiter(map(len, words), np.int64, len(words))
     width = max(1, int(size.max()) if len(words) else 1)
@@ -180,7 +206,7 @@ def _key_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _accept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidate pairs that pass: a, b, whether a has but an initial, and the edits of the family name."""
+    """Candidate pairs that pass: a, b, how many of the two have but an initial, and the edits of the family name; of a slip in the given name also the family and both given names, for the evidence of the whole table."""
     for pdf in batches:
         fa, fb, ga, gb = (pdf[c].tolist() for c in ("family_a", "family_b", "given_a", "given_b"))
         similar = np.ones(len(pdf))
@@ -189,21 +215,26 @@ def _accept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         same_family = np.array([x == y for x, y in zip(fa, fb, strict=True)], bool)
         near_family = (similar >= FAMILY_SIMILARITY) & (pdf["edits"].to_numpy() <= EDITS)
         organisation = (pdf["kind"] == "o").to_numpy()
-        only_initial = pdf["initial"].to_numpy()
+        only_initial = pdf["initial"].to_numpy() > 0
         same_given = np.array([_same_given(x, y, o, i) for x, y, o, i in zip(ga, gb, organisation, only_initial, strict=True)], bool)
         given_similar = np.zeros(len(pdf))
         unlike = [k for k in range(len(pdf)) if same_family[k] and not same_given[k] and not only_initial[k]]
         given_similar[unlike] = jaro_winkler([ga[k] for k in unlike], [gb[k] for k in unlike])
-        near_given = (given_similar >= GIVEN_SIMILARITY) & (pdf["given_edits"].to_numpy() <= EDITS) & ~pdf["both_popular"].to_numpy()
+        near_given = (given_similar >= GIVEN_SIMILARITY) & (pdf["given_edits"].to_numpy() <= EDITS)
         middles = np.array([not x or not y or x == y for x, y in zip(pdf["middle_a"], pdf["middle_b"], strict=True)], bool)
-        yes = middles & ((near_family & same_given) | (same_family & near_given))
-        yield pd.DataFrame({"a": pdf["a"][yes], "b": pdf["b"][yes], "initial": pdf["initial"][yes], "edits": pdf["edits"][yes]})
+        sure, slip = middles & near_family & same_given, middles & same_family & near_given & ~same_given
+        yes = sure | slip
+        family = np.where(slip, pdf["family_a"], None)
+        one, two = np.where(slip, np.minimum(pdf["given_a"], pdf["given_b"]), None), np.where(slip, np.maximum(pdf["given_a"], pdf["given_b"]), None)
+        yield pd.DataFrame({"a": pdf["a"][yes], "b": pdf["b"][yes], "initial": pdf["initial"][yes], "edits": pdf["edits"][yes], "family": family[yes], "one": one[yes], "two": two[yes]})
 
 
 def _same_given(x: str, y: str, organisation: bool, initial: bool) -> bool:
     if organisation:
         p, q = x.split(), y.split()
         return len(p) == len(q) and all(s == t or (min(len(s), len(t)) >= 3 and (s.startswith(t) or t.startswith(s))) or _one_slip(s, t) for s, t in zip(p, q, strict=True))
+    if initial and len(y) <= 1:
+        return x == y
     if initial:
         return any(n[:1] == x for n in formal_names(y))
     return bool(formal_names(x) & formal_names(y))
@@ -234,28 +265,44 @@ def link_names(results: DataFrame, column: str = "authors") -> DataFrame:
     )
     named = space.write(named.withColumn("form", F.xxhash64("kind", "family", "given", "middle")))
     forms = named.select("form", "kind", "family", "given", "middle").distinct()
-    popular = forms.where("length(given) > 1").groupBy("given").agg((F.count_distinct("family") >= POPULAR_FAMILIES).alias("popular"))
-    forms = forms.join(popular, "given", "left").withColumn("popular", F.coalesce("popular", F.lit(False)))
-    keyed = space.write(forms.mapInPandas(_key_all, "given string, form long, kind string, family string, middle string, popular boolean, key string"))
-    left = keyed.select("key", *(F.col(c).alias(f"{c}_a") for c in ("form", "kind", "family", "given", "middle", "popular")))
-    right = keyed.select("key", *(F.col(c).alias(f"{c}_b") for c in ("form", "kind", "family", "given", "middle", "popular")))
+    families = forms.where("length(given) > 1").groupBy("given").agg(F.count_distinct("family").alias("families"))
+    keyed = space.write(forms.mapInPandas(_key_all, "form long, kind string, family string, given string, middle string, key string"))
+    side = lambda x: keyed.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("form", "kind", "family", "given", "middle")))
     initial_a, initial_b = F.length("given_a") <= 1, F.length("given_b") <= 1
-    pairs = left.join(right, "key").where((initial_a & ~initial_b) | (~initial_a & ~initial_b & (F.col("form_a") < F.col("form_b")) & ~F.col("key").startswith("i")))
+    in_order = F.col("form_a") < F.col("form_b")
+    # forms with but an initial meet full ones and each other under keys of their own
+    pairs = meet(space, side("a"), side("b"), "key", "form_a").where((initial_a & ~initial_b) | (in_order & (initial_a == initial_b) & (initial_a | ~F.col("key").startswith("i"))))
     pairs = pairs.where(F.levenshtein("family_a", "family_b", EDITS) >= 0).drop("key").distinct()
     pairs = pairs.select(
         F.col("form_a").alias("a"), F.col("form_b").alias("b"), F.col("kind_a").alias("kind"), "family_a", "family_b", "given_a", "given_b", "middle_a", "middle_b",
-        initial_a.alias("initial"), F.levenshtein("family_a", "family_b").alias("edits"), F.levenshtein("given_a", "given_b").alias("given_edits"), (F.col("popular_a") & F.col("popular_b")).alias("both_popular"),
+        (initial_a.cast("int") + initial_b.cast("int")).alias("initial"), F.levenshtein("family_a", "family_b").alias("edits"), F.levenshtein("given_a", "given_b").alias("given_edits"),
     )
-    accepted = space.write(pairs.mapInPandas(_accept, "a long, b long, initial boolean, edits int"))
-    clusters = connected_components(accepted.where("not initial"), "a", "b", workspace=space).select(F.col("node").alias("form"), F.col("component").alias("entity"))
+    accepted = space.write(pairs.mapInPandas(_accept, "a long, b long, initial int, edits int, family string, one string, two string"))
+    # slips in given names need the evidence of the families that have both
+    slips = accepted.where("one is not null")
+    shared = slips.groupBy("one", "two").agg(F.count_distinct("family").alias("shared"))
+    of = lambda x: families.select(F.col("given").alias(x), F.col("families").alias(f"of_{x}"))
+    likely = shared.join(of("one"), "one").join(of("two"), "two").where(F.col("shared") >= SHARED_FAMILIES * F.least("of_one", "of_two")).select("one", "two")
+    sure = accepted.where("one is null and initial = 0").select("a", "b").unionByName(slips.join(likely, ["one", "two"], "left_semi").select("a", "b"))
+    clusters = connected_components(sure, "a", "b", workspace=space).select(F.col("node").alias("form"), F.col("component").alias("entity"))
     # an initial goes to the one cluster that fits best
-    fits = accepted.where("initial").join(clusters.withColumnRenamed("form", "b"), "b", "left").select("a", "edits", F.coalesce("entity", "b").alias("entity"))
+    fits = accepted.where("initial = 1").join(clusters.withColumnRenamed("form", "b"), "b", "left").select("a", "edits", F.coalesce("entity", "b").alias("entity"))
     best = fits.groupBy("a", "edits").agg(F.min("entity").alias("low"), F.max("entity").alias("high")).groupBy("a").agg(F.min_by(F.struct("low", "high"), "edits").alias("x"))
     attached = best.where("x.low = x.high").select(F.col("a").alias("form"), F.col("x.low").alias("entity"))
-    entities = clusters.unionByName(attached)
+    # initials that fit no full form at all are compared with each other
+    alone = accepted.where("initial = 2").select("a", "b")
+    for end in ("a", "b"):
+        alone = alone.join(best.select(F.col("a").alias(end)), end, "left_anti")
+    initials = connected_components(alone, "a", "b", workspace=space).select(F.col("node").alias("form"), F.col("component").alias("entity"))
+    entities = clusters.unionByName(attached).unionByName(initials)
     return named.join(entities, "form", "left").select("authors", F.coalesce("entity", "form").alias("entity"))
 
 
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per distinct spelling: authors and entity, the class of all spellings of one person or organisation."""
+    return link_names(table(spark, sf_dir, "results"))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = Workspace(spark, "name-pairs").write(link_names(table(spark, sf_dir, "results")))
     one, two = linked.select("entity", F.col("authors").alias("authors_1")), linked.select("entity", F.col("authors").alias("authors_2"))

@@ -121,6 +121,47 @@ def test_spellings_are_linked(spark):
     assert names.link_names(results(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("others", [0, 6, 600])
+def test_slips_in_given_names_stay_linked_however_many_families_have_them(spark, others):
+    same = ["Michael Klarpilova", "Klarpilova, Michael", "Klarpilova, Micheal"]
+    letters = "bcdfghjklm"
+    families = ["".join(letters[int(d)] + "a" for d in f"{k:03d}") + "vek" for k in range(others)]
+    rest = [f"{f}, {g}" for f in families for g in ("Michael", "Micheal")]
+    # names of their own that are alike meet in one family by chance
+    apart = ["Klarpilova, Darya", "Klarpilova, Dario", *(f"{f}, {g}" for k, f in enumerate(families) for g in (["Darya"] if k % 2 else ["Dario"]))]
+    rows = [(k, "t", a, "v", 2000, None, "f", k) for k, a in enumerate([*same, *rest, *apart])]
+    entity = {r.authors: r.entity for r in names.link_names(results(spark, rows)).collect()}
+    assert len({entity[a] for a in same}) == 1
+    if others:
+        assert entity["Klarpilova, Darya"] != entity["Klarpilova, Dario"]
+
+
+def test_initials_that_fit_no_full_form_are_compared(spark):
+    same, apart = ["J. Klarpilova", "Klarpiolva, J.", "Klarpilova, J. M."], ["W. Klarpilova", "J. Sturmund"]
+    rows = [(k, "t", a, "v", 2000, None, "f", k) for k, a in enumerate([*same, *apart])]
+    entity = {r.authors: r.entity for r in names.link_names(results(spark, rows)).collect()}
+    assert len({entity[a] for a in same}) == 1 and len({entity[a] for a in [same[0], *apart]}) == 3
+
+
+def test_organisations_of_other_kinds(spark):
+    groups = [["University of Oslo", "Oslo University", "Univ. of Oslo", "The University of Oslo"], ["Acme Research GmbH", "ACME Research", "Acme Reserach GmbH"][::2], ["Oslo Institute of Rural Health"], ["University of Bergen"], ["Bergen College"], ["Anna Min", "A. Min"], ["Blashasarek AG", "Anthony G. Blashasarek"]]
+    rows = [(k, "t", a, "v", 2000, None, "f", k) for k, a in enumerate(a for g in groups for a in g)]
+    entity = {r.authors: r.entity for r in names.link_names(results(spark, rows)).collect()}
+    for g in groups:
+        assert len({entity[a] for a in g}) == 1, g
+    assert len({entity[g[0]] for g in groups}) == len(groups)
+
+
+def test_split_keys_lose_no_pair(spark):
+    from kinsift.llm.common import Workspace, meet
+
+    rng = random.Random(8)
+    rows = [(k, "hot" if rng.random() < 0.4 else f"k{rng.randrange(30)}") for k in range(400)]
+    a, b = spark.createDataFrame(rows, "a long, key string"), spark.createDataFrame(rows, "b long, key string")
+    plain = sorted(map(tuple, a.join(b, "key").select("a", "b").collect()))
+    assert sorted(map(tuple, meet(Workspace(spark, "meet"), a, b, "key", "a", key_rows=7).select("a", "b").collect())) == plain
+
+
 def test_venues_are_mapped(spark, listed):
     cases = {
         "review of ambient registers": 1, "The Review of Ambient Registers, vol. 3": 1, "Ambient Registers (Review)": 1, "Ambient Registers, Review of": 1, "Rev. Ambient Reg.": 1, "RAR: Review of Ambient Registers": 1, "rar2003": 1, "Proc. RAR": 1, "RAR'20": 1,
