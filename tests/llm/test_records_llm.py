@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from kinsift.llm import names, records, venues
 from kinsift.llm.components import connected_components, group_records
-from kinsift.llm.survivors import learn_sources, surviving_fields
+from kinsift.llm.survivors import FIELDS, LEVELS, learn_quality, retained_values, surviving_fields
 from kinsift.llm.vectors import DIMENSIONS, K, nearest_vectors
 from pyspark.sql import functions as F
 
@@ -213,18 +213,42 @@ def test_survivors(spark):
         (1, good.upper(), "a", "WEM", 2999, 5, "f", 1), (2, damaged, "a", "WEM 2019", 2019, 5, "g", 2), (3, good, "a", None, None, 5, "h", 3), (4, good + " [pdf]", "a", "WEM", 2018, 5, "i", 4), (5, good, "a", "WEM", 2018, 5, "k", 5), (12, good, "a", "wem2019", None, 5, "l", 12),
         (6, "Untitled", "a", None, None, 6, "f", 6), (7, None, "a", None, None, 6, "f", 7), (8, good, "a", None, 2000, 7, "f", 8), (9, good, "a", None, 2000, None, "f", 9), (10, "x" * 40_000, "a", None, 7, 8, None, None), (11, "x" * 40_000, "a", None, 7, 8, None, None),
     ]
-    got = {r.cluster_id: (r.title_row_id, r.year_row_id) for r in surviving_fields(results(spark, rows)).collect()}
+    feeds = spark.createDataFrame([(f,) for f in "fghikl"], "feed string")
+    got = {r.cluster_id: (r.title_row_id, r.year_row_id) for r in surviving_fields(results(spark, rows), feeds).collect()}
     assert got == {5: (3, 2), 6: (None, None), 8: (10, 10)}
-    assert surviving_fields(results(spark, rows).limit(0)).count() == 0
+    assert surviving_fields(results(spark, rows).limit(0), feeds).count() == 0
+    # without any listed feed all of them share one entry
+    assert {r.cluster_id: r.title_row_id for r in surviving_fields(results(spark, rows), feeds.limit(0)).collect()}[5] == 3
+    kept = {(r.cluster_id, r.field, r.value): r.survives for r in retained_values(results(spark, rows), feeds).collect()}
+    assert kept[5, "title", good] and kept[5, "year", "2019"] and (5, "title", damaged) not in kept and (5, "year", "2999") not in kept
 
 
-def test_better_sources_are_recognised(spark):
+def test_several_true_values_of_a_field_are_retained(spark):
+    title, other = "Robust Caching of River Gauges", "Caching River Gauges Robustly"
+    rows = [(k, t, "a", None, 2010, 1, f"f{k % 6}", k) for k, t in enumerate([title, other] * 6)]
+    # many plain groups besides, so that sources are known
+    rows += [(100 + 3 * g + k, f"Plain title number {chr(97 + g % 26)} of words", "a", None, 2000 + g % 20, 100 + g, f"f{k}", 1000 + 3 * g + k) for g in range(30) for k in range(3)]
+    feeds = spark.createDataFrame([(f"f{k}",) for k in range(6)], "feed string")
+    kept = {r.value: r.survives for r in retained_values(results(spark, rows), feeds).where("cluster_id = 1 and field = 'title'").collect()}
+    assert set(kept) == {title, other} and sorted(kept.values()) == [False, True]
+
+
+def test_better_sources_and_signs_are_recognised(spark):
     rng = random.Random(5)
-    rows = [(g, "true" if rng.random() < right else f"wrong{rng.randrange(3)}", s, 0.0) for g in range(150) for s, right in (("good", 0.95), ("fair", 0.8), ("bad", 0.3), ("worse", 0.2))]
-    claims = spark.createDataFrame(rows, "group_id long, value string, source string, prior double")
-    counted = claims.groupBy("group_id", "value", "source").agg(F.count("*").alias("n"), F.max("prior").alias("prior")).withColumn("of", F.lit(1))
-    learned = learn_sources(counted, 6)
-    assert learned["good"][0] > learned["fair"][0] > max(learned["bad"][0], learned["worse"][0])
+    quality = (0.95, 0.8, 0.3, 0.2)
+    rows = [(g, "true" if rng.random() < right else f"wrong{rng.randrange(3)}", s) for g in range(150) for s, right in enumerate(quality)]
+    claims = spark.createDataFrame(rows, "group_id long, value string, source int").groupBy("group_id", "value", "source").agg(F.count("*").cast("double").alias("n"))
+    pack = lambda c: F.collect_list(F.struct("source", "n")).alias(c)
+    of = claims.groupBy("group_id", "source").agg(F.sum("n").alias("n")).groupBy("group_id").agg(pack("of"))
+    # the first sign shows on false values mostly, the second one on any
+    first = F.when(F.col("value") != "true", (F.pmod(F.xxhash64("group_id", "value"), F.lit(10)) < 7).cast("int")).otherwise((F.pmod(F.xxhash64("group_id"), F.lit(20)) == 0).cast("int"))
+    second = F.pmod(F.xxhash64(F.lit(1), "group_id", "value"), F.lit(2)).cast("int")
+    rest = [F.lit(sum(LEVELS["title"][:k])) for k in range(2, len(LEVELS["title"]))]
+    values = claims.groupBy("group_id", "value").agg(pack("claims")).join(of, "group_id").withColumn("field", F.lit(FIELDS[0])).withColumn("signs", F.array(first, F.lit(2) + second, *rest))
+    q = learn_quality(values, len(quality))
+    sensitivity = q.sensitivity[: len(quality)]
+    assert sensitivity[0] > sensitivity[1] > max(sensitivity[2:])
+    assert q.in_false[1] > 3 * q.in_true[1] and abs(q.in_false[3] - q.in_true[3]) < 0.15
 
 
 def test_nearest_vectors_against_brute_force(spark):
