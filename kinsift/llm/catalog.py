@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .components import p3_found
 from .contamination import p8_found
-from .names import p1_found
-from .records import p6_found
+from .names import p1_entities, p1_found
+from .records import p6_found, p6_groups
 from .subjects import p9_found
-from .survivors import p2_found
+from .survivors import p2_found, p2_values
 from .tokenize import encode_corpus
 from .vectors import p5_found
 from .venues import duckdb_sql, p4_found
@@ -23,7 +23,9 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+    found = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+    # classes beside the pairs, and all values judged true beside the surviving ones
+    return {**found, "p1_entities": p1_entities, "p2_values": p2_values, "p6_groups": p6_groups}
 
 
 #: The recursive query walks from each record to every record that it reaches.

@@ -27,19 +27,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, parallelism, table
+from .common import Workspace, meet, parallelism, table
 from .components import connected_components
 from .names import link_names, parse, phonetic
-from .titles import FILLER, compare_words, edits, grams, split_title
+from .titles import FILLER, compare_words, edits, gram_text, grams, split_title
 from .venues import map_venues
 
 #: Least similarity of n-gram sets that the bands are made for, rows in a band, and the share of such pairs that must meet.
 LEAST_SIMILARITY, BAND_ROWS, TARGET_RECALL = 0.6, 4, 0.95
 #: The same for records without a usable author, which meet every title.
 STRICT_SIMILARITY, STRICT_ROWS = 0.85, 8
+#: n-grams of a title cut off that stand for the whole one without further support.
+LONG_BEGINNING = 24
 
 
 def bands_for(similarity: float, rows: int, recall: float) -> int:
@@ -47,23 +49,40 @@ def bands_for(similarity: float, rows: int, recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows)))
 
 
-def signatures(sets: list[set[str]], hashes: int) -> np.ndarray:
-    """MinHash signatures, one row per set; sets are not empty."""
+def _min_hashes(flat: np.ndarray, starts: np.ndarray, hashes: int) -> np.ndarray:
+    """The least value of each hash over each run of flat (64-bit codes of n-grams; repeated ones change nothing)."""
     rng = np.random.default_rng(7)
-    a = rng.integers(1, 1 << 31, hashes, dtype=np.uint64) | np.uint64(1)
+    a = rng.integers(1, 1 << 63, hashes, dtype=np.uint64) | np.uint64(1)
     b = rng.integers(0, 1 << 63, hashes, dtype=np.uint64)
-    sizes = [len(s) for s in sets]
-    flat = np.fromiter((zlib.crc32(g.encode()) for s in sets for g in s), np.uint64, sum(sizes))
-    starts = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
-    out = np.empty((len(sets), hashes), np.uint64)
+    out, x, flat = np.empty((len(starts), hashes), np.uint64), np.empty(len(flat), np.uint64), _mixed(flat)
     with np.errstate(over="ignore"):
         for k in range(hashes):
-            x = flat * (a[k] * np.uint64(0x9E3779B97F4A7C15)) + b[k]
-            x ^= x >> np.uint64(32)
-            out[:, k] = np.minimum.reduceat(x * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(16), starts)
+            np.multiply(flat, a[k], out=x)
+            x += b[k]
+            out[:, k] = np.minimum.reduceat(x, starts)
     return out
 
 
+def signatures(sets: list[set[str]], hashes: int) -> np.ndarray:
+    """MinHash signatures, one row per set; sets are not empty."""
+    sizes = [len(s) for s in sets]
+    flat = np.fromiter((zlib.crc32(g.encode()) for s in sets for g in s), np.uint64, sum(sizes))
+    return _min_hashes(flat, np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64), hashes)
+
+
+def title_signatures(titles: list[list[str]], hashes: int) -> np.ndarray:
+    """MinHash signatures of the 3-grams of titles (lists of words, not empty), as titles.grams has them."""
+    texts = [gram_text(words).ljust(3, "\0") for words in titles]
+    letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(sizes)
+    codes = letters[:-2] | letters[1:-1] << np.uint64(21) | letters[2:] << np.uint64(42)
+    inside = np.ones(len(codes), bool)
+    inside[(ends[:-1, None] - np.array([1, 2])).ravel()] = False
+    counts = sizes - 2
+    return _min_hashes(codes[inside], np.r_[0, np.cumsum(counts)[:-1]].astype(np.int64), hashes)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
@@ -103,7 +122,7 @@ def _keyed(bands: int, strict_bands: int):
             usable = np.array([k for k, found in enumerate(parts) if found], np.int64)
             if not len(usable):
                 continue
-            signs = signatures([grams(parts[k]) for k in usable], max(bands * BAND_ROWS, strict_bands * STRICT_ROWS))
+            signs = title_signatures([parts[k] for k in usable], max(bands * BAND_ROWS, strict_bands * STRICT_ROWS))
             strict = _bands(signs, STRICT_ROWS, strict_bands)
             outlines = np.array([[_hash(o) for o in _outlines(parts[k])] for k in usable], np.uint64)
             close = np.concatenate([_bands(signs, BAND_ROWS, bands), outlines], axis=1)
@@ -139,7 +158,7 @@ def _seconded(bands: int):
                 some = found[at : at + 2000]
                 usable = sorted({k for k, _ in some})
                 place = {k: n for n, k in enumerate(usable)}
-                close = _bands(signatures([grams(parts[k]) for k in usable], bands * BAND_ROWS), BAND_ROWS, bands)
+                close = _bands(title_signatures([parts[k] for k in usable], bands * BAND_ROWS), BAND_ROWS, bands)
                 close = np.concatenate([close, np.array([[_hash(o) for o in _outlines(parts[k])] for k in usable], np.uint64)], axis=1)
                 keys = _mixed(close[[place[k] for k, _ in some]] ^ np.array([_hash(s) for _, s in some], np.uint64)[:, None])
                 reps = batch.column("rep").take(pa.array(np.repeat([k for k, _ in some], keys.shape[1])))
@@ -156,11 +175,17 @@ def _valid_year(year) -> int | None:
     return year if 1900 <= year <= 2100 else None
 
 
+def _full_year(c: str) -> Column:
+    """As _valid_year."""
+    year = F.col(c)
+    return F.when(year.between(3, 49), year + 2000).when(year.between(50, 99), year + 1900).when(year.between(1900, 2100), year)
+
+
 class _Known:
     """Parts of titles and names met in a task, kept up to a number."""
 
     def __init__(self, most: int = 50_000):
-        self.most, self.titles, self.names = most, {}, {}
+        self.most, self.titles, self.names, self.pairs = most, {}, {}, {}
 
     def title(self, text):
         if text not in self.titles:
@@ -170,6 +195,14 @@ class _Known:
             self.titles[text] = found, mark, grams(found)
         return self.titles[text]
 
+    def compared(self, one, two):
+        """compare_words of two titles, which records often have in common with others."""
+        if (one, two) not in self.pairs:
+            if len(self.pairs) >= self.most:
+                self.pairs.clear()
+            self.pairs[one, two] = compare_words(self.title(one)[0], self.title(two)[0])
+        return self.pairs[one, two]
+
     def name(self, text):
         if text not in self.names:
             if len(self.names) >= self.most:
@@ -194,44 +227,53 @@ def _authors_agree(one, two, entity_a, entity_b) -> bool | None:
     return False
 
 
-def same_publication(a: dict, b: dict, known: _Known | None = None) -> bool:
-    known = known or _Known()
-    words_a, mark_a, grams_a = known.title(a["title"])
-    words_b, mark_b, grams_b = known.title(b["title"])
+def same_publication(title_a, title_b, authors, year_a, year_b, same_venue: bool, known: _Known) -> bool:
+    """authors: gives whether they agree, if it is asked. The venues don't differ."""
+    words_a, mark_a, grams_a = known.title(title_a)
+    words_b, mark_b, grams_b = known.title(title_b)
     if not words_a or not words_b:
         return False
-    contained = len(grams_a & grams_b) / min(len(grams_a), len(grams_b))
-    venues = [v for v in (a["venue_id"], b["venue_id"]) if v is not None and v > 0]
-    if contained < 0.6 or (len(venues) == 2 and venues[0] != venues[1]):
-        return False
-    authors = _authors_agree(known.name(a["authors"]), known.name(b["authors"]), a["entity"], b["entity"])
-    if authors is False:
-        return False
-    year_a, year_b = _valid_year(a["year"]), _valid_year(b["year"])
-    same_year, same_venue = year_a is not None and year_a == year_b, len(venues) == 2 or (isinstance(a["venue"], str) and len(a["venue"]) > 3 and a["venue"] == b["venue"])
-    verdict, missing = compare_words(words_a, words_b)
+    if words_a == words_b and mark_a == mark_b:
+        contained, verdict, missing = 1.0, "same", 0
+    else:
+        contained = len(grams_a & grams_b) / min(len(grams_a), len(grams_b))
+        if contained < 0.6:
+            return False
+        verdict, missing = known.compared(title_a, title_b)
     if verdict == "other":
         return False
     if mark_a != mark_b and not (verdict == "cut" and (len(words_a) < len(words_b)) == (len(mark_a) < len(mark_b)) and not (mark_a and mark_b)):
         return False
+    agree = authors()
+    if agree is False:
+        return False
+    year_a, year_b = _valid_year(year_a), _valid_year(year_b)
+    same_year = year_a is not None and year_a == year_b
     if max(len(words_a), len(words_b)) <= 3:
-        return verdict == "same" and same_year and same_venue and authors is True
-    support = same_year + same_venue + (authors is True)
+        return verdict == "same" and same_year and same_venue and agree is True
+    support = same_year + same_venue + (agree is True)
     if verdict == "same":
         return support >= 1
     if verdict == "less":
         return missing <= 2 and contained >= 0.75 and support >= 2
-    return contained >= 0.75 and support >= 2 and min(len(grams_a), len(grams_b)) >= 8
+    if contained < 0.75:
+        return False
+    # a long beginning by the same author, where no year speaks against it, needs no further support
+    long_beginning = agree is True and min(len(grams_a), len(grams_b)) >= LONG_BEGINNING and (same_year or year_a is None or year_b is None)
+    return long_beginning or (support >= 2 and min(len(grams_a), len(grams_b)) >= 8)
 
 
-_SIDES = ("title", "authors", "venue", "year", "entity", "venue_id")
+_CONTENT = ("title", "authors", "venue", "year")
+_SIDES = ("title", "authors", "year", "entity")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _Known()
     for batch in batches:
-        side = lambda x: [dict(zip(_SIDES, r, strict=True)) for r in zip(*(batch.column(f"{c}_{x}").to_pylist() for c in _SIDES), strict=True)]  # noqa: B023, E731
-        yes = pa.array([same_publication(x, y, known) for x, y in zip(side("a"), side("b"), strict=True)], pa.bool_())
+        (ta, aa, ya, ea), (tb, ab, yb, eb) = ([batch.column(f"{c}_{x}").to_pylist() for c in _SIDES] for x in "ab")
+        venue = batch.column("same_venue").to_pylist()
+        agree = lambda k: lambda: _authors_agree(known.name(aa[k]), known.name(ab[k]), ea[k], eb[k])  # noqa: B023, E731
+        yes = pa.array([same_publication(ta[k], tb[k], agree(k), ya[k], yb[k], venue[k], known) for k in range(batch.num_rows)], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(yes), batch.column("b").filter(yes)], ["a", "b"])
 
 
@@ -252,7 +294,7 @@ def group_publications(results: DataFrame, venue_list: DataFrame) -> DataFrame:
     spark = results.sparkSession
     space = Workspace(spark, "records")
     rows = results.where("cluster_id is null and row_id is not null").select("row_id", "feed", "id", "title", "authors", "venue", "year")
-    reps = rows.groupBy("title", "authors", "venue", "year").agg(F.min("row_id").alias("rep"))
+    reps = rows.groupBy(*_CONTENT).agg(F.min("row_id").alias("rep"))
     names, mapped = space.write(link_names(results).mapInPandas(_coded, "authors string, entity long, code string")), space.write(map_venues(results, venue_list))
     # an author's spellings meet under the code that most of them have
     names = names.join(names.groupBy("entity").agg(F.mode("code", True).alias("main")), "entity")
@@ -261,24 +303,32 @@ def group_publications(results: DataFrame, venue_list: DataFrame) -> DataFrame:
     reps = space.write(reps.select("rep", "title", "authors", "venue", "year", "entity", "venue_id", "code", "main").repartition(parallelism(spark)))
     bands, strict = bands_for(LEAST_SIMILARITY, BAND_ROWS, TARGET_RECALL), bands_for(STRICT_SIMILARITY, STRICT_ROWS, TARGET_RECALL)
     keyed = space.write(reps.select("rep", "title", "code", "main").mapInArrow(_keyed(bands, strict), "rep long, side int, key long"))
-    a, n, other = keyed.where("side = 0"), keyed.where("side = 1"), keyed.where("side > 0")
-    meet = lambda x, y: x.select("key", F.col("rep").alias("a")).join(y.select("key", F.col("rep").alias("b")), "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    one_way = a.select("key", F.col("rep").alias("a")).join(a.select("key", F.col("rep").alias("b")), "key").where("a < b").select("a", "b")
+    by_author, lone_strict, others = (keyed.where(c).select("key", "rep") for c in ("side = 0", "side = 1", "side > 0"))
+    one, two = (lambda df: df.withColumnRenamed("rep", "a")), (lambda df: df.withColumnRenamed("rep", "b"))
+    ordered = lambda df: df.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    one_way = meet(space, one(by_author), two(by_author), "key", "a").where("a < b").select("a", "b")
     # records without an author are few: their keys are written, those of all records only pass by
     seconded = lambda df: df.select("rep", "title", "venue", "venue_id", "year").mapInArrow(_seconded(bands), "rep long, key long")
     lone = space.write(seconded(reps.where("code is null")))
-    pairs = one_way.unionByName(meet(n, other)).unionByName(meet(lone, seconded(reps))).distinct()
-    side = lambda s: reps.select(F.col("rep").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in _SIDES))
+    pairs = one_way.unionByName(ordered(meet(space, one(others), two(lone_strict), "key", "a"))).unionByName(ordered(meet(space, one(seconded(reps)), two(lone), "key", "a"))).distinct()
+    side = lambda s: reps.select(F.col("rep").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in (*_SIDES, "venue", "venue_id")))
     full = pairs.join(side("a"), "a").join(side("b"), "b")
+    # what needs no look at the words is decided here: two listed venues that differ, and pairs that neither year nor venue nor authors can support
+    listed_a, listed_b = F.coalesce(F.col("venue_id_a") > 0, F.lit(False)), F.coalesce(F.col("venue_id_b") > 0, F.lit(False))
+    same_venue = (listed_a & listed_b) | F.coalesce((F.length("venue_a") > 3) & (F.col("venue_a") == F.col("venue_b")), F.lit(False))
+    supported = same_venue | F.coalesce(_full_year("year_a") == _full_year("year_b"), F.lit(False)) | (F.col("authors_a").isNotNull() & F.col("authors_b").isNotNull())
+    full = full.where(~(listed_a & listed_b & (F.col("venue_id_a") != F.col("venue_id_b"))) & supported)
+    full = full.select("a", "b", *(f"{c}_{x}" for x in "ab" for c in _SIDES), same_venue.alias("same_venue"))
     accepted = full.repartition(parallelism(spark)).mapInArrow(_verify, "a long, b long")
-    window = rows.withColumn("rep", F.min("row_id").over(Window.partitionBy("title", "authors", "venue", "year")))
-    rows = space.write(window.select("row_id", "rep", "feed", "id"))
-    delivered = rows.where("feed is not null and id is not null").groupBy("feed", "id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("all")).select("a", F.explode("all").alias("b")).where("a != b")
+    of = reps.select(F.col("rep"), *(F.col(c).alias(f"{c}_rep") for c in _CONTENT))
+    same = [rows[c].eqNullSafe(of[f"{c}_rep"]) for c in _CONTENT]
+    rows = space.write(rows.join(of, same[0] & same[1] & same[2] & same[3]).select("row_id", "rep", "feed", "id"))
+    delivered = rows.where("feed is not null and id is not null").select("feed", "id", "rep").distinct()
+    delivered = delivered.join(delivered.groupBy("feed", "id").agg(F.min("rep").alias("a")), ["feed", "id"]).where("a != rep").select("a", F.col("rep").alias("b"))
     edges = space.write(accepted.unionByName(delivered).distinct())
     clusters = connected_components(edges, "a", "b", workspace=space).select(F.col("node").alias("rep"), F.col("component").alias("publication"))
     marks = reps.select("rep", "title").mapInPandas(_mark, "rep long, mark string, titled boolean")
-    year = F.when(F.col("year").between(3, 49), F.col("year") + 2000).when(F.col("year").between(50, 99), F.col("year") + 1900).when(F.col("year").between(1900, 2100), F.col("year"))
-    about = reps.select("rep", "entity", F.when(F.col("venue_id") > 0, F.col("venue_id")).alias("venue_id"), year.alias("year")).join(marks, "rep").join(clusters, "rep", "left")
+    about = reps.select("rep", "entity", F.when(F.col("venue_id") > 0, F.col("venue_id")).alias("venue_id"), _full_year("year").alias("year")).join(marks, "rep").join(clusters, "rep", "left")
     about = space.write(about.withColumn("publication", F.coalesce("publication", "rep")))
     about = about.join(_untitled(about), "publication", "left").withColumn("publication", F.coalesce("titled_one", "publication"))
     return rows.join(about, "rep").select("row_id", "feed", "id", "publication", "mark", "venue_id")
@@ -296,6 +346,11 @@ def _untitled(about: DataFrame) -> DataFrame:
     return found.select("publication", F.coalesce("one_0", "one_1", F.when(F.col("venue_id").isNull(), F.col("one_2"))).alias("titled_one")).where("titled_one is not null")
 
 
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per ungrouped record that belongs with another one: row_id and publication, its class."""
+    return group_publications(table(spark, sf_dir, "results"), table(spark, sf_dir, "venue_list")).select("row_id", "publication")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = Workspace(spark, "record-pairs").write(group_publications(table(spark, sf_dir, "results"), table(spark, sf_dir, "venue_list")))
     side = lambda k: grouped.select("publication", *(F.col(c).alias(f"{c}_{k}") for c in ("row_id", "feed", "id", "mark", "venue_id")))

@@ -70,9 +70,14 @@ def split_title(title: str | None) -> tuple[list[str], str, bool]:
     return words, " ".join(sorted(marks) + kinds), cut
 
 
+def gram_text(words: list[str]) -> str:
+    """The letters that n-grams are taken of; a lost letter counts as e."""
+    return " ".join(w.rstrip(".") for w in words).replace("�", "e")
+
+
 def grams(words: list[str], n: int = 3) -> set[str]:
-    """Letter n-grams over the words' letters; a lost letter counts as e."""
-    text = " ".join(w.rstrip(".") for w in words).replace("�", "e")
+    """Letter n-grams over the words' letters."""
+    text = gram_text(words)
     return {text[k : k + n] for k in range(max(1, len(text) - n + 1))} if text else set()
 
 
