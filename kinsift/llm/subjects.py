@@ -29,6 +29,8 @@ from .common import Workspace, is_blank, parallelism, table
 from .titles import repair
 
 BUCKETS, DIMENSIONS, BLOCK = 1 << 16, 96, 1024
+#: Entries of sparse rows worked on at once, so that their products stay in a core's cache.
+CACHED = 2000
 #: Directions that the decomposition carries beyond those kept, and matrices that one task adds up.
 OVERSAMPLED, FAN_IN = 16, 32
 #: Documents with labels that the seeds, weights of terms and the threshold come from.
@@ -92,23 +94,35 @@ class Rows:
         self.value = (value / norm[self.row]).astype(np.float32)
 
     def times(self, q: np.ndarray) -> np.ndarray:
+        """The rows times q."""
         out = np.zeros((self.n, q.shape[1]), np.float32)
-        if len(self.row):
-            starts = np.flatnonzero(np.r_[True, self.row[1:] != self.row[:-1]])
-            for at in range(0, len(starts), 512):
-                low, high = starts[at], starts[at + 512] if at + 512 < len(starts) else len(self.row)
-                out[self.row[starts[at : at + 512]]] = np.add.reduceat(q[self.bucket[low:high]] * self.value[low:high, None], starts[at : at + 512] - low, axis=0)
+        for group, low, high, starts in _groups(self.row):
+            x = q.take(self.bucket[low:high], axis=0)
+            x *= self.value[low:high, None]
+            out[group] = np.add.reduceat(x, starts, axis=0)
         return out
 
     def add_transposed(self, z: np.ndarray, into: np.ndarray) -> None:
-        if not len(self.row):
-            return
+        """Adds the transposed rows times z."""
         order = np.argsort(self.bucket, kind="stable")
         bucket, row, value = self.bucket[order], self.row[order], self.value[order]
-        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        for at in range(0, len(starts), 4096):
-            low, high = starts[at], starts[at + 4096] if at + 4096 < len(starts) else len(row)
-            into[bucket[starts[at : at + 4096]]] += np.add.reduceat(z[row[low:high]] * value[low:high, None], starts[at : at + 4096] - low, axis=0)
+        for group, low, high, starts in _groups(bucket):
+            x = z.take(row[low:high], axis=0)
+            x *= value[low:high, None]
+            into[group] += np.add.reduceat(x, starts, axis=0)
+
+
+def _groups(keys: np.ndarray) -> Iterator[tuple[np.ndarray, int, int, np.ndarray]]:
+    """Runs of equal keys, about CACHED entries at a time: the keys, first and last entry, and where each run starts from there."""
+    if not len(keys):
+        return
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    ends = np.r_[starts[1:], len(keys)]
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + CACHED, side="right")))
+        yield keys[starts[at:to]], int(starts[at]), int(ends[to - 1]), starts[at:to] - starts[at]
+        at = to
 
 
 def _summed(partial: DataFrame, rows: int, columns: int, tasks: int) -> np.ndarray:
