@@ -2,32 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinsift.operators.workspace import Workspace, dense_index
 
 _MAX_ROUNDS = 100
+#: Edges that one task may label at once, some 50 bytes each.
+LOCAL_EDGES = 500_000
 
 
 def build_graph(pairs: DataFrame) -> DataFrame:
     """Undirected edges u < v; repeated, reversed and self pairs merge or fall out, null ids link nothing."""
-    return pairs.select(F.least("src_id", "dst_id").alias("u"), F.greatest("src_id", "dst_id").alias("v")).where("src_id is not null and dst_id is not null and src_id != dst_id").distinct()
+    src, dst = F.col("src_id").cast("long"), F.col("dst_id").cast("long")
+    return pairs.select(F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v")).where("src_id is not null and dst_id is not null and src_id != dst_id").distinct()
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def connected_components(pairs: DataFrame) -> DataFrame:
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and component of all edges of one task: the roots of both ends of an edge are joined and paths halved until nothing changes."""
+    held = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
+    if not held:
+        return
+    nodes, place = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+    u, v = place.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:
+        low, new = np.minimum(label[u], label[v]), label.copy()
+        for end in (u, v):
+            np.minimum.at(new, label[end], low)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "component"])
+
+
+def connected_components(pairs: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """node and component (its smallest node) of each linked node: alternating large and small stars (Kiveris et al. 2014), logarithmic in practice.
 
-    Each round aggregates minima map-side and joins them back; the tables of a round are written to the shared folder, and adaptive
+    Up to local_edges distinct edges, which are counted, one task labels them all instead. Each round aggregates minima map-side and joins them back; the tables of a round are written to the shared folder, and adaptive
     skew joins split hubs.
     """
     space = Workspace(pairs.sparkSession, "components")
     edges = space.write(build_graph(pairs))
     state = _state(edges)
+    if state[0] <= local_edges:
+        return edges.coalesce(1).mapInArrow(_labels, "node long, component long")
     for _ in range(_MAX_ROUNDS):
         # large star: larger neighbours of a node are linked to its smallest neighbour
         both = edges.select(F.col("u").alias("a"), F.col("v").alias("b")).union(edges.select("v", "u"))

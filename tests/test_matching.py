@@ -121,7 +121,8 @@ def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(45)] + [(k, k + 1) for k in range(200, 260)] + [(300, k) for k in range(301, 340)] + [(5, 5), (None, 3), (7, None), (2, 1), (1, 2)]
     df = spark.createDataFrame(edges, "src_id long, dst_id long")
-    assert {r.node: r.component for r in clusters.connected_components(df).collect()} == brute_components(edges)
+    for local_edges in (clusters.LOCAL_EDGES, 0):
+        assert {r.node: r.component for r in clusters.connected_components(df, local_edges).collect()} == brute_components(edges)
     assert clusters.connected_components(df.limit(0)).count() == 0
 
 
