@@ -28,6 +28,8 @@ def meet(space: Workspace, left: DataFrame, right: DataFrame, key: str, row: str
     spread over salts by row, and their right rows are copied to each salt, so that no pair is lost and none comes twice. The hot keys are written, so Spark knows their size before it
     chooses a join for them."""
     hot = space.write(right.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > key_rows).select(key, F.ceil(F.col("_n") / key_rows).cast("int").alias("_salts")))
+    if hot.isEmpty():  # no key to split: the same rows without salts
+        return left.join(right, key)
     salts = F.coalesce("_salts", F.lit(1))
     spread = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(row), salts).cast("int")).drop("_salts")
     copied = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
