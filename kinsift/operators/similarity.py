@@ -67,13 +67,18 @@ def with_overall(scored: DataFrame, attributes: list[str], weights: dict[str, fl
     return scored.withColumn("overall_similarity", value.cast("double"))
 
 
-def similarity_stats(scored: DataFrame, attributes: list[str]) -> DataFrame:
-    """attribute, mean, std (0 for a single pair), min, max, median, count; zeros without pairs."""
+def similarity_stats(scored: DataFrame, attributes: list[str], median_accuracy: int | None = None) -> DataFrame:
+    """attribute, mean, std (0 for a single pair), min, max, median, count; zeros without pairs.
+
+    The exact median brings all distinct similarities to one task; median_accuracy takes a quantile sketch of bounded size instead, off by
+    at most 1 / median_accuracy of the ranks.
+    """
+    median = (lambda c: F.percentile_approx(c, 0.5, median_accuracy)) if median_accuracy else F.median
     present = [a for a in attributes if f"{a}_sim" in scored.columns]
     if not present:
         return scored.sparkSession.createDataFrame([], "attribute string, mean double, std double, min double, max double, median double, count long")
     # one aggregation over all columns: no unpivot of the pairs
-    each = [F.struct(F.lit(a).alias("attribute"), *[F.coalesce(f(f"{a}_sim"), F.lit(0.0)).alias(n) for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max), ("median", F.median))], F.count(f"{a}_sim").alias("count")) for a in present]
+    each = [F.struct(F.lit(a).alias("attribute"), *[F.coalesce(f(f"{a}_sim"), F.lit(0.0)).alias(n) for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max), ("median", median))], F.count(f"{a}_sim").alias("count")) for a in present]
     return scored.agg(F.array(*each).alias("all")).select(F.explode("all").alias("x")).select("x.*")
 
 

@@ -95,6 +95,8 @@ def test_scores(spark):
     assert similarity.with_overall(scored, ["t"], {}).first().overall_similarity == 0.0
     stats = {r.attribute: r for r in similarity.similarity_stats(scored, ["t"]).collect()}["t"]
     assert (stats["mean"], stats["median"], stats["count"]) == (0.5, 0.5, 2)
+    many = spark.range(1001).selectExpr("id / 1000 AS t_sim")
+    assert abs(similarity.similarity_stats(many, ["t"], 1000).first()["median"] - similarity.similarity_stats(many, ["t"]).first()["median"]) <= 0.002
     empty = similarity.similarity_stats(scored.limit(0), ["t"]).first()
     assert (empty["mean"], empty["std"], empty["count"]) == (0.0, 0.0, 0)
     assert similarity.update_thresholds({"a": 0.5}, {"b": 1}) == {"a": 0.5, "b": 1} and similarity.threshold_of({}, "x") == 0.7
