@@ -118,7 +118,7 @@ def _keyed(bands: int, strict_bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pdf = batch.to_pandas()
-            parts = [split_title(t)[0] for t in pdf["title"]]
+            parts = [w.split() for w in pdf["words"]]
             usable = np.array([k for k, found in enumerate(parts) if found], np.int64)
             if not len(usable):
                 continue
@@ -147,8 +147,8 @@ def _seconded(bands: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            titles, venues, ids, years = (batch.column(c).to_pylist() for c in ("title", "venue", "venue_id", "year"))
-            parts = [split_title(t)[0] for t in titles]
+            texts, venues, ids, years = (batch.column(c).to_pylist() for c in ("words", "venue", "venue_id", "year"))
+            parts = [w.split() for w in texts]
             found = []
             for k in (k for k, words in enumerate(parts) if words):
                 year = _valid_year(years[k])
@@ -188,15 +188,16 @@ class _Known:
         self.most, self.titles, self.names, self.pairs = most, {}, {}, {}
 
     def title(self, text):
+        """Words and n-grams of a title's words in one text."""
         if text not in self.titles:
             if len(self.titles) >= self.most:
                 self.titles.clear()
-            found, mark, _ = split_title(text)
-            self.titles[text] = found, mark, grams(found)
+            found = text.split()
+            self.titles[text] = found, grams(found)
         return self.titles[text]
 
     def compared(self, one, two):
-        """compare_words of two titles, which records often have in common with others."""
+        """compare_words of the words of two titles, which records often have in common with others."""
         if (one, two) not in self.pairs:
             if len(self.pairs) >= self.most:
                 self.pairs.clear()
@@ -227,10 +228,10 @@ def _authors_agree(one, two, entity_a, entity_b) -> bool | None:
     return False
 
 
-def same_publication(title_a, title_b, authors, year_a, year_b, same_venue: bool, known: _Known) -> bool:
-    """authors: gives whether they agree, if it is asked. The venues don't differ."""
-    words_a, mark_a, grams_a = known.title(title_a)
-    words_b, mark_b, grams_b = known.title(title_b)
+def same_publication(text_a, mark_a, text_b, mark_b, authors, year_a, year_b, same_venue: bool, known: _Known) -> bool:
+    """Words of the titles in one text each, and their marks. authors: gives whether they agree, if it is asked. The venues don't differ."""
+    words_a, grams_a = known.title(text_a)
+    words_b, grams_b = known.title(text_b)
     if not words_a or not words_b:
         return False
     if words_a == words_b and mark_a == mark_b:
@@ -239,7 +240,7 @@ def same_publication(title_a, title_b, authors, year_a, year_b, same_venue: bool
         contained = len(grams_a & grams_b) / min(len(grams_a), len(grams_b))
         if contained < 0.6:
             return False
-        verdict, missing = known.compared(title_a, title_b)
+        verdict, missing = known.compared(text_a, text_b)
     if verdict == "other":
         return False
     if mark_a != mark_b and not (verdict == "cut" and (len(words_a) < len(words_b)) == (len(mark_a) < len(mark_b)) and not (mark_a and mark_b)):
@@ -264,16 +265,16 @@ def same_publication(title_a, title_b, authors, year_a, year_b, same_venue: bool
 
 
 _CONTENT = ("title", "authors", "venue", "year")
-_SIDES = ("title", "authors", "year", "entity")
+_SIDES = ("words", "mark", "authors", "year", "entity")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _Known()
     for batch in batches:
-        (ta, aa, ya, ea), (tb, ab, yb, eb) = ([batch.column(f"{c}_{x}").to_pylist() for c in _SIDES] for x in "ab")
+        (wa, ma, aa, ya, ea), (wb, mb, ab, yb, eb) = ([batch.column(f"{c}_{x}").to_pylist() for c in _SIDES] for x in "ab")
         venue = batch.column("same_venue").to_pylist()
         agree = lambda k: lambda: _authors_agree(known.name(aa[k]), known.name(ab[k]), ea[k], eb[k])  # noqa: B023, E731
-        yes = pa.array([same_publication(ta[k], tb[k], agree(k), ya[k], yb[k], venue[k], known) for k in range(batch.num_rows)], pa.bool_())
+        yes = pa.array([same_publication(wa[k], ma[k], wb[k], mb[k], agree(k), ya[k], yb[k], venue[k], known) for k in range(batch.num_rows)], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(yes), batch.column("b").filter(yes)], ["a", "b"])
 
 
@@ -283,10 +284,12 @@ def _coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.assign(code=[(p[0] + phonetic(p[2])) if p else None for p in map(parse, pdf["authors"])])
 
 
-def _mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        parts = [split_title(t) for t in pdf["title"]]
-        yield pdf.assign(mark=[p[1] if p[0] and not p[2] else None for p in parts], titled=[bool(p[0]) for p in parts])[["rep", "mark", "titled"]]
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds what split_title finds, the words in one text; every later step reads it."""
+    for batch in batches:
+        parts = [split_title(t) for t in batch.column("title").to_pylist()]
+        added = [pa.array([" ".join(p[0]) for p in parts], pa.string()), pa.array([p[1] for p in parts], pa.string()), pa.array([p[2] for p in parts], pa.bool_())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "words", "mark", "cut"])
 
 
 def group_publications(results: DataFrame, venue_list: DataFrame) -> DataFrame:
@@ -300,15 +303,16 @@ def group_publications(results: DataFrame, venue_list: DataFrame) -> DataFrame:
     names = names.join(names.groupBy("entity").agg(F.mode("code", True).alias("main")), "entity")
     listed = results.select("row_id", "venue").join(venue_list.select(F.explode(F.array("venue_name", "short_name")).alias("venue"), "venue_id").groupBy("venue").agg(F.min("venue_id").alias("venue_id")), "venue").select("row_id", "venue_id")
     reps = reps.join(names, "authors", "left").join(mapped.unionByName(listed).withColumnRenamed("row_id", "rep"), "rep", "left")
-    reps = space.write(reps.select("rep", "title", "authors", "venue", "year", "entity", "venue_id", "code", "main").repartition(parallelism(spark)))
+    reps = reps.select("rep", "title", "authors", "venue", "year", "entity", "venue_id", "code", "main").repartition(parallelism(spark))
+    reps = space.write(reps.mapInArrow(_split, ", ".join(f"{c} {kind}" for c, kind in reps.dtypes) + ", words string, mark string, cut boolean"))
     bands, strict = bands_for(LEAST_SIMILARITY, BAND_ROWS, TARGET_RECALL), bands_for(STRICT_SIMILARITY, STRICT_ROWS, TARGET_RECALL)
-    keyed = space.write(reps.select("rep", "title", "code", "main").mapInArrow(_keyed(bands, strict), "rep long, side int, key long"))
+    keyed = space.write(reps.select("rep", "words", "code", "main").mapInArrow(_keyed(bands, strict), "rep long, side int, key long"))
     by_author, lone_strict, others = (keyed.where(c).select("key", "rep") for c in ("side = 0", "side = 1", "side > 0"))
     one, two = (lambda df: df.withColumnRenamed("rep", "a")), (lambda df: df.withColumnRenamed("rep", "b"))
     ordered = lambda df: df.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     one_way = meet(space, one(by_author), two(by_author), "key", "a").where("a < b").select("a", "b")
     # records without an author are few: their keys are written, those of all records only pass by
-    seconded = lambda df: df.select("rep", "title", "venue", "venue_id", "year").mapInArrow(_seconded(bands), "rep long, key long")
+    seconded = lambda df: df.select("rep", "words", "venue", "venue_id", "year").mapInArrow(_seconded(bands), "rep long, key long")
     lone = space.write(seconded(reps.where("code is null")))
     pairs = one_way.unionByName(ordered(meet(space, one(others), two(lone_strict), "key", "a"))).unionByName(ordered(meet(space, one(seconded(reps)), two(lone), "key", "a"))).distinct()
     side = lambda s: reps.select(F.col("rep").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in (*_SIDES, "venue", "venue_id")))
@@ -327,8 +331,8 @@ def group_publications(results: DataFrame, venue_list: DataFrame) -> DataFrame:
     delivered = delivered.join(delivered.groupBy("feed", "id").agg(F.min("rep").alias("a")), ["feed", "id"]).where("a != rep").select("a", F.col("rep").alias("b"))
     edges = space.write(accepted.unionByName(delivered).distinct())
     clusters = connected_components(edges, "a", "b", workspace=space).select(F.col("node").alias("rep"), F.col("component").alias("publication"))
-    marks = reps.select("rep", "title").mapInPandas(_mark, "rep long, mark string, titled boolean")
-    about = reps.select("rep", "entity", F.when(F.col("venue_id") > 0, F.col("venue_id")).alias("venue_id"), _full_year("year").alias("year")).join(marks, "rep").join(clusters, "rep", "left")
+    titled = F.col("words") != ""
+    about = reps.select("rep", "entity", F.when(F.col("venue_id") > 0, F.col("venue_id")).alias("venue_id"), _full_year("year").alias("year"), F.when(titled & ~F.col("cut"), F.col("mark")).alias("mark"), titled.alias("titled")).join(clusters, "rep", "left")
     about = space.write(about.withColumn("publication", F.coalesce("publication", "rep")))
     about = about.join(_untitled(about), "publication", "left").withColumn("publication", F.coalesce("titled_one", "publication"))
     return rows.join(about, "rep").select("row_id", "feed", "id", "publication", "mark", "venue_id")

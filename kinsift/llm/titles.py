@@ -25,6 +25,7 @@ class _Bare(dict):
 
 
 _BARE = _Bare()
+_WORD = re.compile(r"[\w�]+\.?")
 _TAG, _DOUBLE, _BROKEN = re.compile(r"</?\w+>"), re.compile(r"[Â-ô][\x80-¿]+"), re.compile(r"(?<=\w)- +(?=\w)")
 
 
@@ -59,9 +60,11 @@ def split_title(title: str | None) -> tuple[list[str], str, bool]:
     cut = text.endswith("...")
     marks = [f"part{_NUMBERS.get(m[1], m[1])}" for m in _PART.finditer(text)]
     text = _PART.sub(" ", text)
-    words = re.findall(r"[\w�]+\.?", text)
-    marks += [w.rstrip(".") for w in words if re.fullmatch(r"\d+\.?", w)]
-    words = [w for w in words if not re.fullmatch(r"\d+\.?", w)]
+    words = _WORD.findall(text)
+    numbers = [w for w in words if w.removesuffix(".").isdecimal()]
+    if numbers:
+        marks += [w.rstrip(".") for w in numbers]
+        words = [w for w in words if not w.removesuffix(".").isdecimal()]
     if words and not cut:
         words[-1] = words[-1].rstrip(".")
     words = [w for k, w in enumerate(words) if k == 0 or w != words[k - 1]]
@@ -87,17 +90,33 @@ def edits(a: str, b: str, most: int = 2) -> int:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
-    before, row = None, list(range(len(b) + 1))
+    # equal ends cost nothing; cells farther than most from the diagonal can't come back within it
+    first, end_a, end_b = 0, len(a), len(b)
+    while first < end_a and first < end_b and a[first] == b[first]:
+        first += 1
+    while end_a > first and end_b > first and a[end_a - 1] == b[end_b - 1]:
+        end_a, end_b = end_a - 1, end_b - 1
+    a, b = a[first:end_a], b[first:end_b]
+    n, over = len(b), most + 1
+    before, row = None, [min(j, over) for j in range(n + 1)]
     for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            same = x == y or x == "�" or y == "�"
-            cost = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (not same))
-            if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                cost = min(cost, before[j - 2] + 1)
-            new.append(cost)
-        if min(new) > most:
-            return most + 1
+        new = [over] * (n + 1)
+        new[0] = best = min(i, over)
+        for j in range(max(1, i - most), min(n, i + most) + 1):
+            y = b[j - 1]
+            cost = row[j - 1] if x == y or x == "�" or y == "�" else row[j - 1] + 1
+            if row[j] < cost:
+                cost = row[j] + 1
+            if new[j - 1] < cost:
+                cost = new[j - 1] + 1
+            if before is not None and j > 1 and before[j - 2] < cost and x == b[j - 2] and a[i - 2] == y:
+                cost = before[j - 2] + 1
+            if cost < over:
+                new[j] = cost
+                if cost < best:
+                    best = cost
+        if best > most:
+            return over
         before, row = row, new
     return row[-1]
 
