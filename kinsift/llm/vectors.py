@@ -3,7 +3,8 @@
 The index is fitted on a bounded sample: its neighbour graph is partitioned into balanced parts (principal splits, then moves of
 nodes to the part of most of their neighbours while capacity lasts), and a softmax classifier is trained to tell the parts in which
 a vector's neighbours lie. Every vector is stored in its most probable part and searches as many parts, most probable first, as
-hold PROBED of the probability. Parts with many vectors or many searches are split into blocks, each block of vectors against each
+hold PROBED of the probability. Parts that are often searched together form an area, and a vector is sent once to each area that it
+needs, both to be found and to search. Areas with many vectors or many searches are split into blocks, each block of vectors against each
 block of searches, so no task holds more than a block of either. In a block the candidates are found by matrix products and
 reranked in double precision; cosines are rounded to nine decimals and ties go to the smaller row_id. The number of parts grows
 with the table, so the work for one vector stays about the same.
@@ -139,60 +140,100 @@ def fit_index(sample: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, n
     return (mean.astype(np.float32), *train_router(x, graph, label, parts))
 
 
+def _probed(x: np.ndarray, mean: np.ndarray, w: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most probable parts of each vector, and which of them it searches."""
+    z = (x - mean).astype(np.float32) @ w + b
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    count = min(most, p.shape[1])
+    top = np.argpartition(-p, count - 1, axis=1)[:, :count]
+    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(p, top, 1), axis=1, kind="stable"), 1)
+    share = np.cumsum(np.take_along_axis(p, top, 1), 1)
+    return top, np.c_[np.ones(len(p), bool), share[:, :-1] < PROBED] | (np.arange(count) < LEAST_PARTS)
+
+
+def group_parts(sample: np.ndarray, router: tuple[np.ndarray, np.ndarray, np.ndarray], width: int) -> np.ndarray:
+    """The area of each part: the two areas that most vectors of the sample search together are joined, while no more than width parts come together."""
+    parts = router[1].shape[1]
+    area, size = np.arange(parts), np.ones(parts, np.int64)
+    if width <= 1:
+        return area
+    top, used = _probed(sample, *router, MOST_PARTS)
+    both = np.zeros((parts, parts), np.float32)
+    for i in range(0, len(sample), _CHUNK):
+        asked = np.zeros((len(top[i : i + _CHUNK]), parts), np.float32)
+        rows, places = np.nonzero(used[i : i + _CHUNK])
+        asked[rows, top[i : i + _CHUNK][rows, places]] = 1
+        both += asked.T @ asked
+    np.fill_diagonal(both, 0)
+    open_pairs = both.copy()
+    while True:
+        i, j = np.unravel_index(open_pairs.argmax(), both.shape)
+        if open_pairs[i, j] <= 0:
+            break
+        area[area == j] = i
+        both[i] += both[j]
+        both[:, i] = both[i]
+        both[j] = both[:, j] = both[i, i] = 0
+        size[i], size[j] = size[i] + size[j], 0
+        open_pairs[j] = open_pairs[:, j] = 0
+        open_pairs[i] = open_pairs[:, i] = np.where(size + size[i] <= width, both[i], 0)
+    return np.unique(area, return_inverse=True)[1]
+
+
 def _routes(router, most: int):
-    """rep, v to part, place (0: the vector is stored there), rep, v."""
+    """rep, v to area, home (the part that the vector is stored in, -1: in another area), parts (of this area, to be searched), rep, v."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mean, w, b = router.value
+        mean, w, b, area = router.value
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
-                z = (_matrix(batch.column(1)) - mean).astype(np.float32) @ w + b
-                p = np.exp(z - z.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                count = min(most, p.shape[1])
-                top = np.argpartition(-p, count - 1, axis=1)[:, :count]
-                top = np.take_along_axis(top, np.argsort(-np.take_along_axis(p, top, 1), axis=1, kind="stable"), 1)
-                share = np.cumsum(np.take_along_axis(p, top, 1), 1)
-                used = np.c_[np.ones(len(p), bool), share[:, :-1] < PROBED] | (np.arange(count) < LEAST_PARTS)
+                top, used = _probed(_matrix(batch.column(1)), mean, w, b, most)
                 rows, places = np.nonzero(used)
-                yield pa.RecordBatch.from_arrays([pa.array(top[rows, places].astype(np.int32)), pa.array(places.astype(np.int32)), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))], ["part", "place", "rep", "v"])
+                parts = top[rows, places]
+                order = np.lexsort((places, area[parts], rows))
+                rows, places, parts = rows[order], places[order], parts[order]
+                first = np.flatnonzero(np.r_[True, (np.diff(rows) != 0) | (np.diff(area[parts]) != 0)][: len(rows)])
+                home = np.where(places[first] == 0, parts[first], -1)  # the most probable part comes first in its area
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(rows)].astype(np.int32)), pa.array(parts.astype(np.int32)))
+                of = pa.array(rows[first])
+                yield pa.RecordBatch.from_arrays([pa.array(area[parts[first]].astype(np.int32)), pa.array(home.astype(np.int32)), lists, batch.column(0).take(of), batch.column(1).take(of)], ["area", "home", "parts", "rep", "v"])
 
     return run
 
 
 def _search(group: pa.Table) -> pa.Table:
-    """The k nearest stored vectors of each search of a block: query, found (array of cosine * 10^9 and rep, packed as two lists)."""
-    stored, asked = group.filter(pc.equal(group["role"], 0)), group.filter(pc.equal(group["role"], 1))
-    out_q, out_s, out_r, counts = [], [], [], []
-    if stored.num_rows and asked.num_rows:
-        p, ids = _matrix(stored["v"].combine_chunks()), stored["rep"].to_numpy()
-        order = np.argsort(ids)
-        p, ids = p[order], ids[order]
-        small = p.astype(np.float32)
-        k = min(K + 1, len(ids))
-        for at in range(0, asked.num_rows, _CHUNK):
-            part = asked.slice(at, _CHUNK)
-            q, qid = _matrix(part["v"].combine_chunks()), part["rep"].to_numpy()
-            s = q.astype(np.float32) @ small.T
-            least = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k] if k < len(ids) else s.min(1)
+    """The k nearest of a block for each of its searches, among the stored vectors of the parts that it asks for: query, cosines (times 10^9) and reps."""
+    x, ids, home = _matrix(group["v"].combine_chunks()), group["rep"].to_numpy(), group["home"].to_numpy()
+    small, lists = x.astype(np.float32), group["parts"].combine_chunks()
+    asking, asked = pc.list_parent_indices(lists).to_numpy(), lists.flatten().to_numpy()
+    found = []
+    for part in np.unique(home[home >= 0]):
+        stored, searches = np.flatnonzero(home == part), asking[asked == part]
+        stored = stored[np.argsort(ids[stored])]
+        k = min(K + 1, len(stored))
+        for at in range(0, len(searches), _CHUNK):
+            q = searches[at : at + _CHUNK]
+            s = small[q] @ small[stored].T
+            least = np.partition(s, len(stored) - k, axis=1)[:, len(stored) - k] if k < len(stored) else s.min(1)
             rows, cols = np.nonzero(s >= (least - 4e-6)[:, None])
-            exact = np.rint(np.einsum("ij,ij->i", q[rows], p[cols]) * 1e9).astype(np.int64)
-            other = qid[rows] != ids[cols]
-            rows, cols, exact = rows[other], cols[other], exact[other]
-            best = np.lexsort((ids[cols], -exact, rows))
-            rows, cols, exact = rows[best], cols[best], exact[best]
-            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-            keep = place < K
-            rows, cols, exact = rows[keep], cols[keep], exact[keep]
-            out_q.append(qid)
-            out_s.append(exact.astype(np.int32))
-            out_r.append(ids[cols])
-            counts.append(np.bincount(rows, minlength=len(qid)))
-    if not out_q:
-        return pa.table({"query": pa.array([], pa.int64()), "cosines": pa.array([], pa.list_(pa.int32())), "reps": pa.array([], pa.list_(pa.int64()))})
-    offsets = pa.array(np.r_[0, np.cumsum(np.concatenate(counts))].astype(np.int32))
-    return pa.table({"query": pa.array(np.concatenate(out_q)), "cosines": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out_s))), "reps": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out_r)))})
+            rows, cols = q[rows], stored[cols]
+            other = ids[rows] != ids[cols]
+            rows, cols = rows[other], cols[other]
+            found.append(_nearest(rows, np.rint(np.einsum("ij,ij->i", x[rows], x[cols]) * 1e9).astype(np.int64), ids[cols]))
+    rows, exact, reps = _nearest(*map(np.concatenate, zip(*found))) if found else (np.zeros(0, np.int64),) * 3
+    first = np.flatnonzero(np.r_[True, np.diff(rows) != 0][: len(rows)])
+    offsets = pa.array(np.r_[first, len(rows)].astype(np.int32))
+    return pa.table({"query": pa.array(ids[rows[first]]), "cosines": pa.ListArray.from_arrays(offsets, pa.array(exact.astype(np.int32))), "reps": pa.ListArray.from_arrays(offsets, pa.array(reps))})
+
+
+def _nearest(rows: np.ndarray, exact: np.ndarray, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first K of each row: larger cosines first, then smaller ids."""
+    best = np.lexsort((reps, -exact, rows))
+    rows, exact, reps = rows[best], exact[best], reps[best]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < K
+    return rows[keep], exact[keep], reps[keep]
 
 
 def nearest_vectors(vectors: DataFrame, id_column: str = "row_id", column: str = "normFeatures", part_size: int = PART_SIZE, point_block: int = POINT_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -208,30 +249,38 @@ def nearest_vectors(vectors: DataFrame, id_column: str = "row_id", column: str =
     # a row_number filter keeps the first few of each class before the shuffle too
     members = rows.select("row_id", "h1", "h2").withColumn("place", F.row_number().over(order)).where(F.col("place") <= K + 1)
     classes = space.write(members.groupBy("h1", "h2").agg(F.min("row_id").alias("rep"), F.sort_array(F.collect_list("row_id")).alias("members")))
-    reps = space.write(rows.join(classes.select("rep"), rows.row_id == F.col("rep"), "left_semi").select(F.col("row_id").alias("rep"), "v"))
+    # as many files as tasks that route them, so they need not be shuffled again for that
+    reps = rows.select("row_id", "v").repartition(parallelism(spark), "row_id")
+    reps = space.write(reps.join(classes.select("rep"), reps.row_id == F.col("rep"), "left_semi").select(F.col("row_id").alias("rep"), "v"))
     n = reps.count()
     parts = max(1, min(round(n / part_size), SAMPLE_BOUND // 16))
     wanted = min(SAMPLE_BOUND, parts * SAMPLE_PER_PART) if parts > 1 else 1
     picked = reps.select("v", F.xxhash64(F.lit(17), "rep").alias("order")).orderBy("order").limit(wanted).toArrow() if n else None
-    if not n:
-        router = spark.sparkContext.broadcast((np.zeros(DIMENSIONS, np.float32), np.zeros((DIMENSIONS, 1), np.float32), np.zeros(1, np.float32)))
-    else:
-        router = spark.sparkContext.broadcast(fit_index(_matrix(picked["v"].combine_chunks()), parts))
-    routed = reps.repartition(parallelism(spark), "rep").mapInArrow(_routes(router, MOST_PARTS), "part int, place int, rep long, v binary")
-    routed = space.write(routed)
-    # blocks of parts: a bounded table, one row for each part
-    sizes = routed.groupBy("part").agg(F.count_if(F.col("place") == 0).alias("points"), F.count("*").alias("queries")).collect()
-    point_blocks = {r.part: math.ceil(r.points / point_block) for r in sizes if r.points > point_block}
-    query_blocks = {r.part: math.ceil(r.queries / query_block) for r in sizes if r.queries > query_block}
-    number = lambda d: F.coalesce(F.create_map(*[x for k, c in d.items() for x in (F.lit(k), F.lit(c))])[F.col("part")], F.lit(1)) if d else F.lit(1)
+    fitted, areas = (np.zeros(DIMENSIONS, np.float32), np.zeros((DIMENSIONS, 1), np.float32), np.zeros(1, np.float32)), np.zeros(1, np.int64)
+    if n:
+        sample = _matrix(picked["v"].combine_chunks())
+        fitted = fit_index(sample, parts)
+        # areas of half a block of vectors, and some for each task
+        areas = group_parts(sample, fitted, min(round(point_block * parts / n / 2), parts // (2 * parallelism(spark))))
+    router = spark.sparkContext.broadcast((*fitted, areas))
+    routed = space.write(reps.mapInArrow(_routes(router, MOST_PARTS), "area int, home int, parts array<int>, rep long, v binary"))
+    space.drop(reps)
+    # blocks of areas: a bounded table, one row for each area
+    sizes = routed.groupBy("area").agg(F.count_if(F.col("home") >= 0).alias("points"), F.count("*").alias("queries")).collect()
+    point_blocks = {r.area: math.ceil(r.points / point_block) for r in sizes if r.points > point_block}
+    query_blocks = {r.area: math.ceil(r.queries / query_block) for r in sizes if r.queries > query_block}
+    number = lambda d: F.coalesce(F.create_map(*[x for k, c in d.items() for x in (F.lit(k), F.lit(c))])[F.col("area")], F.lit(1)) if d else F.lit(1)
     pb, qb, h = number(point_blocks), number(query_blocks), F.xxhash64(F.lit(3), "rep")
-    points = routed.where("place = 0").select("part", F.pmod(h, pb).cast("int").alias("pb"), F.explode(F.sequence(F.lit(0), (qb - 1).cast("int"))).alias("qb"), F.lit(0).alias("role"), "rep", "v")
-    queries = routed.select("part", F.explode(F.sequence(F.lit(0), (pb - 1).cast("int"))).alias("pb"), F.pmod(h, qb).cast("int").alias("qb"), F.lit(1).alias("role"), "rep", "v")
-    found = points.unionByName(queries).groupBy("part", "pb", "qb").applyInArrow(_search, "query long, cosines array<int>, reps array<long>")
+    own_pb, own_qb, none = F.pmod(h, pb).cast("int"), F.pmod(h, qb).cast("int"), F.array().cast("array<int>")
+    # a vector meets all blocks of searches and searches all blocks of vectors; where both lead to one block it is sent once
+    points = routed.where("home >= 0").select("*", own_pb.alias("pb"), F.explode(F.sequence(F.lit(0), (qb - 1).cast("int"))).alias("qb")).withColumn("parts", F.when(F.col("qb") == own_qb, F.col("parts")).otherwise(none))
+    queries = routed.select("*", F.explode(F.sequence(F.lit(0), (pb - 1).cast("int"))).alias("pb"), own_qb.alias("qb")).where((F.col("home") < 0) | (F.col("pb") != own_pb)).withColumn("home", F.lit(-1))
+    found = points.unionByName(queries).groupBy("area", "pb", "qb").applyInArrow(_search, "query long, cosines array<int>, reps array<long>")
     pairs = found.select("query", F.arrays_zip((F.transform("cosines", lambda c: -c)).alias("far"), F.col("reps").alias("rep")).alias("found"))
-    # at most MOST_PARTS lists (times the blocks of a part) of K
+    # at most MOST_PARTS lists (times the blocks of an area) of K
     near = pairs.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, K).alias("found")).select("query", F.explode("found").alias("x")).select("query", "x.far", F.col("x.rep").alias("rep"))
     near = space.write(near)
+    space.drop(routed)
     others = near.join(classes.select("rep", "members"), "rep").select("query", "far", F.explode(F.slice("members", 1, K)).alias("row"))
     own = classes.select(F.col("rep").alias("query"), F.lit(-1_000_000_000).alias("far"), F.explode("members").alias("row"))
     lists = others.unionByName(own).groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "row"))), 1, K + 1).alias("list"))

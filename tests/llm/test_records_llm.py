@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from kinsift.llm import names, records, venues
+from kinsift.llm import names, records, vectors, venues
 from kinsift.llm.components import connected_components, group_records
 from kinsift.llm.survivors import FIELDS, LEVELS, learn_quality, retained_values, surviving_fields
 from kinsift.llm.vectors import DIMENSIONS, K, nearest_vectors
@@ -271,3 +271,25 @@ def test_nearest_vectors_against_brute_force(spark):
         assert len(got & truth) / len(truth) >= (1.0 if size == 10_000 else 0.9)
     assert nearest_vectors(df.limit(0)).count() == 0 and nearest_vectors(df.limit(1)).count() == 0
     assert sorted((r.row_id, r.neighbour) for r in nearest_vectors(df.limit(2)).collect()) == [(0, 1), (1, 0)]
+
+
+def test_a_vector_is_sent_once_to_parts_that_are_searched_together(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((6, DIMENSIONS))
+    x = (centres[np.arange(1200) % 6] + 0.5 * rng.standard_normal((1200, DIMENSIONS))).astype(np.float32)
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "row_id long, normFeatures array<float>")
+
+    search, log = vectors._search, str(tmp_path / "log")
+
+    def counted(group):
+        with open(log, "a") as f:
+            f.write(f"{group.num_rows}\n")
+        return search(group)
+
+    monkeypatch.setattr(vectors, "_search", counted)
+    pairs = lambda: {(r.row_id, r.neighbour, r.cosine) for r in nearest_vectors(df, part_size=20).collect()}
+    got = pairs()
+    # each vector searches three parts at least, so parts by themselves get four copies
+    assert sum(map(int, (tmp_path / "log").read_text().split())) < 3 * len(x)
+    monkeypatch.setattr(vectors, "group_parts", lambda sample, router, width: np.arange(router[1].shape[1]))
+    assert got == pairs()
