@@ -29,9 +29,13 @@ def comparable(c: Column, missing: str = "nan") -> Column:
 
 def similarity_of(a: Column, b: Column) -> Column:
     """Edit similarity of comparable texts."""
-    longer = F.greatest(F.length(a), F.length(b))
-    similar = F.greatest(F.lit(0.0), 1 - F.levenshtein(F.lower(a), F.lower(b)) / F.nullif(longer, F.lit(0)))
-    return F.when((a == "") | (b == ""), F.lit(0.0)).otherwise(similar).cast("double")
+    return similarity_of_lowered(F.lower(a), F.length(a), F.lower(b), F.length(b))
+
+
+def similarity_of_lowered(a: Column, length_a: Column, b: Column, length_b: Column) -> Column:
+    """similarity_of texts already lowered, with their lengths before that."""
+    similar = F.greatest(F.lit(0.0), 1 - F.levenshtein(a, b) / F.nullif(F.greatest(length_a, length_b), F.lit(0)))
+    return F.when((length_a == 0) | (length_b == 0), F.lit(0.0)).otherwise(similar).cast("double")
 
 
 def edit_similarity(left: Column, right: Column, missing: str = "nan") -> Column:
